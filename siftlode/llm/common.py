@@ -55,3 +55,12 @@ def hex_key(*parts: Column, digits: int = 15) -> Column:
     """A non-negative long from the md5 of the parts, the same in other SQL engines."""
     joined = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
     return F.conv(F.substring(F.md5(joined), 1, digits), 16, 10).cast("long")
+
+
+def ship(module: str) -> None:
+    """Send the functions of ``module`` to Python workers by value: executors need not have this package."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[module])

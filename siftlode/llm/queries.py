@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, url_filter
+from . import mixing, sharding, simhash, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,7 +26,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES |= {"op1_url_filter": op1_url_filter, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+QUERIES |= {"op1_url_filter": op1_url_filter, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op10_simhash": op10_simhash}
 
 _PARTS = r"""
   SELECT page_id, url, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*') END AS raw,
