@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, simhash, url_filter
+from . import decontam, mixing, quality, sharding, simhash, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,7 +31,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-QUERIES |= {"op1_url_filter": op1_url_filter, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op10_simhash": op10_simhash}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "matched")
+
+
+QUERIES |= {"op1_url_filter": op1_url_filter, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op6_quality": op6_quality, "op9_decontamination": op9_decontamination, "op10_simhash": op10_simhash}
 
 _PARTS = r"""
   SELECT page_id, url, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*') END AS raw,
@@ -86,3 +95,17 @@ SELECT doc_id, size, source_size, target,
        (CASE WHEN source_size > 0 THEN (budget // source_size) * size + GREATEST(0, LEAST(size, budget % source_size - before)) ELSE 0 END)::BIGINT AS taken
 FROM ordered
 """
+
+# every window of 13 item tokens against every diagonal, by joining single tokens
+ORACLE["op9_decontamination"] = rf"""
+WITH t AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS toks FROM benchmark),
+item AS (SELECT item_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS p FROM t WHERE len(toks) >= {decontam.WINDOW}),
+d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS toks FROM documents),
+doc AS (SELECT r, doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS q FROM d),
+same AS (SELECT r, doc_id, item_id, q - p AS diagonal, p FROM doc JOIN item USING (tok)),
+enough AS (SELECT r, item_id, diagonal FROM same GROUP BY ALL HAVING COUNT(*) >= {decontam.MIN_MATCHES}),
+counted AS (
+  SELECT doc_id, item_id, COUNT(*) OVER (PARTITION BY r, item_id, diagonal ORDER BY p RANGE BETWEEN CURRENT ROW AND {decontam.WINDOW - 1} FOLLOWING) AS n
+  FROM same SEMI JOIN enough USING (r, item_id, diagonal))
+SELECT doc_id, item_id, MAX(n) AS matched FROM counted WHERE n >= {decontam.MIN_MATCHES} GROUP BY doc_id, item_id
+"""
