@@ -72,14 +72,14 @@ def _bit_sums(digests: list[bytes]) -> np.ndarray:
     return out
 
 
-def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): one row a row of ``docs``; fp holds the fingerprint's 64 bits as a signed long."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     return rows.mapInArrow(run, schema)
@@ -129,7 +129,7 @@ def _met(key: np.ndarray, left: np.ndarray, fp: np.ndarray, bits: int, radius: i
                 own = np.repeat(who[i : i + step].astype(np.int32), len(m))
                 val = (base[who[i : i + step], None] ^ m[None, :]).ravel()
                 if slices > 1:  # a key with very many variants: each pass takes those of one hash class
-                    mine = (val * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32) 
+                    mine = (val * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
                     mine = mine % np.uint64(slices) == s
                     own, val = own[mine], val[mine]
                 values.append(val)
@@ -232,7 +232,7 @@ def ball_links(fps: DataFrame, radius: int = RADIUS, key_rows: int = KEY_ROWS, r
         used += KEY_BITS
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): one row a row of ``docs``.
 
     component_id: the smallest doc_id reachable over links, itself included (ids that are null don't count; null if
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     null, have fingerprint 0 and link like any other. An empty table gives an empty one. Only ``doc_id`` and ``text``
     are read.
     """
-    fps = materialise(with_fingerprints(docs, doc_id, text))
+    fps = materialise(with_fingerprints(docs, doc_id, text, shingle))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     links = ball_links(distinct.select("fp"), radius)
     roots = connected_components(links)
@@ -253,12 +253,12 @@ def hex_fingerprint(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each component: that with the smallest id.
 
     Rows that repeat an id inside a component count as one document. A component whose ids are all null keeps one row.
     """
-    found = materialise(near_duplicates(docs, doc_id, text, radius))
+    found = materialise(near_duplicates(docs, doc_id, text, radius, shingle))
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
     keep = materialise(keep)
     k = keep.select(F.col("doc_id").alias("__id"))
