@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality, sharding, simhash, url_filter
+from . import decontam, embed_dedup, line_dedup, mixing, quality, sharding, simhash, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
@@ -40,7 +53,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "matched")
 
 
-QUERIES |= {"op1_url_filter": op1_url_filter, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op6_quality": op6_quality, "op9_decontamination": op9_decontamination, "op10_simhash": op10_simhash}
+QUERIES |= {"op1_url_filter": op1_url_filter, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_embedding_dedup": op7_embedding_dedup, "op8_line_dedup": op8_line_dedup, "op9_decontamination": op9_decontamination, "op10_simhash": op10_simhash}
 
 _PARTS = r"""
   SELECT page_id, url, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*') END AS raw,
@@ -109,3 +122,31 @@ counted AS (
   FROM same SEMI JOIN enough USING (r, item_id, diagonal))
 SELECT doc_id, item_id, MAX(n) AS matched FROM counted WHERE n >= {decontam.MIN_MATCHES} GROUP BY doc_id, item_id
 """
+
+ORACLE["op5_warc"] = f"""
+WITH p AS (SELECT page_id, COALESCE(html, '') AS payload FROM pages),
+d AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT *, MIN(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {warc.MIN_REVISIT} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {warc.MIN_REVISIT} AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+# all pairs of a label; vectors here have no null or non-finite components. Least ids spread over links until none changes.
+ORACLE["op7_embedding_dedup"] = f"""
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= {embed_dedup.THRESHOLD}),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+least AS (SELECT x AS vec_id, MIN(y) AS component_id FROM reach GROUP BY x),
+n AS (SELECT x AS vec_id, COUNT(*) AS n_links FROM link GROUP BY x)
+SELECT vec_id, COALESCE(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN n USING (vec_id)
+"""
+
+ORACLE["op8_line_dedup"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
+line AS (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM d),
+bad AS (SELECT l FROM line WHERE length(l) >= {line_dedup.MIN_CHARS} GROUP BY l HAVING COUNT(DISTINCT COALESCE('s' || source, 'null')) >= {line_dedup.MIN_SITES}),
+marked AS (SELECT line.*, bad.l IS NOT NULL AS gone FROM line LEFT JOIN bad ON line.l = bad.l),
+agg AS (SELECT r, COUNT(*)::BIGINT AS n_lines, COUNT(*) FILTER (gone)::BIGINT AS n_removed, COALESCE(string_agg(l, chr(10) ORDER BY p) FILTER (NOT gone), '') AS text FROM marked GROUP BY r)
+SELECT doc_id, COALESCE(n_lines, 0) AS n_lines, COALESCE(n_removed, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE agg.text END AS text FROM d LEFT JOIN agg USING (r)
+"""
