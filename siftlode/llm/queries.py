@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embed_dedup, line_dedup, mixing, quality, sharding, simhash, url_filter, warc
+from . import decontam, embed_dedup, html_extract, line_dedup, mixing, quality, sharding, simhash, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "canonical_url", "listed")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
@@ -53,7 +57,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "matched")
 
 
-QUERIES |= {"op1_url_filter": op1_url_filter, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_embedding_dedup": op7_embedding_dedup, "op8_line_dedup": op8_line_dedup, "op9_decontamination": op9_decontamination, "op10_simhash": op10_simhash}
+QUERIES |= {"op1_url_filter": op1_url_filter, "op2_html_extract": op2_html_extract, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_embedding_dedup": op7_embedding_dedup, "op8_line_dedup": op8_line_dedup, "op9_decontamination": op9_decontamination, "op10_simhash": op10_simhash}
 
 _PARTS = r"""
   SELECT page_id, url, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*') END AS raw,
