@@ -6,8 +6,8 @@ most 2 differ (a search over all 78 pairs of positions; the tests repeat it). Ha
 meet those of the benchmark in a hash join, and around each hit the item is laid over the text on the hit's diagonal: an
 item is in a text if some window of 13 of its tokens agrees with the text in 11 or more places (similarity 0.8).
 
-The text's token hashes stay in the row while its positions are generated, joined and verified, all in one stage of
-generated code: no text and no position is shuffled, only the verified (document, item) pairs. The benchmark's hashes
+The text's token hashes stay in the row while its positions are generated and joined, all in one stage of generated
+code: no text and no position is shuffled, only hits, with the tokens that the item would cover. The benchmark's hashes
 are broadcast in slices of a bounded number of rows; each further slice is a further pass over the texts.
 """
 
@@ -39,20 +39,24 @@ def _seed(mask: int, toks: str, at: Column) -> Column:
 
 
 def seeds(rows: DataFrame, toks: str) -> DataFrame:
-    """``rows`` by position of ``toks`` (``pos``) and seed hash (``seed``)."""
+    """``rows`` by position of ``toks`` (``pos``) and seed hash (``seed``); rows of fewer tokens than a mask spans go."""
     last = F.size(toks) - 1
     span = min(m[-1] for m in MASKS)
-    at = rows.where(last >= span).select("*", F.explode(F.sequence(F.lit(0), last - span)).alias("pos"))
+    # no filter before it: a filter on the tokens would have them worked out twice
+    places = F.when(last >= span, F.sequence(F.lit(0), last - span)).otherwise(F.array().cast("array<int>"))
+    at = rows.select("*", F.explode(places).alias("pos"))
     each = F.array(*[F.when(F.col("pos") + m[-1] <= last, _seed(i, toks, F.col("pos"))) for i, m in enumerate(MASKS)])
     return at.select("*", F.explode(each).alias("seed"))
 
 
-def _best_window(doc: str, item: str, diagonal: str) -> Column:
-    """Most agreeing places in a window of the item laid over the text; places outside the text do not agree."""
-    same = F.transform(F.col(item), lambda t, i: F.when((i + F.col(diagonal) >= 0) & F.get(F.col(doc), F.greatest(i + F.col(diagonal), F.lit(0))).eqNullSafe(t), 1).otherwise(0))
+def _best_window(here: str, item: str, shift: str) -> Column:
+    """Most agreeing places in a window of ``item``, its place ``i`` being laid on place ``i`` - ``shift`` of ``here``; places
+    outside do not agree."""
+    at = lambda i: i - F.col(shift)
+    same = F.transform(F.col(item), lambda t, i: F.when((at(i) >= 0) & F.get(F.col(here), F.greatest(at(i), F.lit(0))).eqNullSafe(t), 1).otherwise(0))
     starts = F.sequence(F.lit(1), F.size(item) - (WINDOW - 1))
-    sums = F.transform(starts, lambda s: F.aggregate(F.slice("__same", s, WINDOW), F.lit(0), lambda a, x: a + x))
-    return same, F.array_max(sums)
+    sums = F.transform(starts, lambda s: F.aggregate(F.slice(same, s, WINDOW), F.lit(0), lambda a, x: a + x))
+    return F.array_max(sums)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", seed_rows: int = SEED_ROWS) -> DataFrame:
@@ -65,15 +69,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     items = materialise(benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("item")).where(F.size("item") >= WINDOW).distinct())
     n = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)).alias("n")).first()["n"] * len(MASKS)
     slices = max(1, -(-n // seed_rows))
-    texts = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("doc")).where(F.size("doc") >= WINDOW)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("doc"))
     found = []
     for s in range(slices):
         part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(slices)) == s)
         wanted = seeds(part, "item").where("seed is not null").select("seed", F.col("pos").alias("item_pos"), "item_id", "item")
         hits = seeds(texts, "doc").join(F.broadcast(wanted), "seed").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-        same, best = _best_window("doc", "item", "diagonal")
-        found.append(hits.withColumn("__same", same).withColumn("matched", best.cast("long")).where(F.col("matched") >= MIN_MATCHES).select("doc_id", "item_id", "matched"))
-    return reduce(DataFrame.union, found).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
+        # a hit takes along only the part of the text that the item would cover; shift: the item's places before the text
+        cover = F.slice("doc", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.size("item"))
+        cut = hits.select("doc_id", "item_id", F.greatest(-F.col("diagonal"), F.lit(0)).alias("shift"), cover.alias("here"), "item")
+        found.append(cut)
+    # hits of one alignment come together, and only then is it looked at
+    once = reduce(DataFrame.union, found).groupBy("doc_id", "item_id", "shift", "here").agg(F.first("item").alias("item"))
+    looked = once.select("doc_id", "item_id", _best_window("here", "item", "shift").cast("long").alias("matched"))
+    return looked.where(F.col("matched") >= MIN_MATCHES).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
