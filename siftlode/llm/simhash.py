@@ -242,11 +242,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     fps = materialise(with_fingerprints(docs, doc_id, text, shingle))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = ball_links(distinct.select("fp"), radius)
+    # fingerprints are small and their keys many: a fixed number of tasks emits them
+    links = ball_links(distinct.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), radius)
     roots = connected_components(links)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # components are looked up for distinct fingerprints; documents meet them by fingerprint alone
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(named.select("fp", "root"), "fp").join(least, "root").select("doc_id", "fp", "component_id")
+    of_fp = named.select("fp", "root").join(least, "root").select("fp", "component_id")
+    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp"):
