@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hex_key, words
+from .common import WORD, hex_key, materialise, maybe_broadcast, words
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -46,16 +46,15 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epoch
     return w.withColumn("__lambda", level).select("source", "source_size", F.least(F.col("__cap").cast("double"), F.coalesce(F.col("__lambda") * F.col("__w"), F.col("__cap").cast("double"))).alias("target"))
 
 
-def mix(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0, range_digits: int = RANGE_DIGITS) -> DataFrame:
-    """Words that the mix takes of each document: doc_id, source, size, source_size, target, taken, and ``keep``.
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0, range_digits: int = RANGE_DIGITS) -> DataFrame:
+    """Words that the mix takes of each document: doc_id, source, size, source_size, target, taken.
 
     ``docs`` has doc_id, source and text (any may be null; a null or empty text has size 0 and gives 0 words; a
     null source is a source). ``taken`` adds up to each source's target, rounded to a word: the document at the
     cut gives its share only. Equal documents share the key's place in the order doc_id, size; which of two rows
     equal in both comes first makes no difference to the result. An empty table gives an empty one.
-    Columns in ``keep`` travel through the shuffle.
     """
-    light = docs.select("doc_id", "source", words(F.col("text")).alias("size"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
+    light = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
     light = light.withColumn("__key", hex_key(F.col("doc_id"), F.lit(f"mix{seed}"))).withColumn("__range", F.shiftrightunsigned("__key", 60 - 4 * range_digits))
     # one pass makes the sums of ranges, and of them the sums of sources
     sums = light.groupBy("source", "__range").agg(F.sum("size").alias("__sum"))
@@ -76,19 +75,43 @@ def mix(docs: DataFrame, keep: Sequence[str] = (), weights: Sequence[int] = WEIG
     return (
         joined.withColumn("__budget", budget)
         .withColumn("__epochs", epochs)
-        .select("doc_id", "source", "size", "source_size", "target", (F.col("__epochs") * F.col("size") + part).cast("long").alias("taken"), *[F.col(f"__keep_{c}").alias(f"keep_{c}") for c in keep])
+        .select("doc_id", "source", "size", "source_size", "target", (F.col("__epochs") * F.col("size") + part).cast("long").alias("taken"))
     )
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0, range_digits: int = RANGE_DIGITS) -> DataFrame:
     """The mix itself: each document as often as it is taken, whole.
 
     A document that the cut goes through stays if at least half of it is inside, so that no text is torn; a
-    source then misses its target by half a document at most. Documents without words leave. The columns are those
-    of ``docs``.
+    source then misses its target by half a document at most. Documents without words leave. Rows of one source that are
+    equal in doc_id and size share what is taken of the first of them. The columns are those of ``docs``.
+
+    Texts are not shuffled: of each source, the ranges of keys before the cut are taken once more than those after it,
+    and only the documents of the one range that the cut is in are put in order, by id and size.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "source")]
-    m = mix(docs, keep=others, **how)
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")).otherwise(F.lit(0))
-    copies = m.withColumn("__times", times).where(F.col("__times") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return copies.select(*[F.col(c) if c in ("doc_id", "source") else F.col(f"keep_{c}").alias(c) for c in docs.columns])
+    key = hex_key(F.col("doc_id"), F.lit(f"mix{seed}"))
+    placed = docs.withColumn("__key", key).withColumn("__range", F.shiftrightunsigned("__key", 60 - 4 * range_digits))
+    light = placed.select("doc_id", "source", words(F.col("text")).alias("size"), "__key", "__range")
+    sums = materialise(light.groupBy("source", "__range").agg(F.sum("size").alias("__sum")))
+    targets = source_targets(sums.groupBy("source").agg(F.sum("__sum").alias("source_size")), weights, max_epochs)
+    budget = F.floor(F.col("target") + 0.5)
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
+    plan = targets.select(F.col("source").alias("__s"), epochs.alias("__epochs"), (budget - epochs * F.col("source_size")).alias("__rest"))
+    upto = Window.partitionBy("source").orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = sums.withColumn("__end", F.sum("__sum").over(upto)).join(plan, F.col("source").eqNullSafe(F.col("__s")))
+    # the first range that reaches beyond the rest, and the words before it
+    cut = ends.where("__end > __rest").groupBy(F.col("source").alias("__cs")).agg(F.min(F.struct("__range", (F.col("__end") - F.col("__sum")).alias("start"))).alias("c"))
+    plan = plan.join(cut, F.col("__s").eqNullSafe(F.col("__cs")), "left").select("__s", "__epochs", "__rest", F.coalesce("c.__range", F.lit(1 << 62)).alias("__cut"), F.coalesce("c.start", F.lit(0)).alias("__start"))
+    plan = materialise(plan)
+    sources = plan.count()
+    small = maybe_broadcast(plan, sources)
+    within = Window.partitionBy("source", "__range").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    edge = light.join(small, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__cut"))).withColumn("__before", F.col("__start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    half_in = F.col("__rest") - F.col("__before") >= F.col("size") / 2
+    edge = edge.groupBy(F.col("source").alias("__es"), F.col("doc_id").alias("__ed"), F.col("size").alias("__size")).agg(F.max(half_in.cast("int")).alias("__more"))
+    edge = materialise(edge)
+    here = placed.join(small, F.col("source").eqNullSafe(F.col("__s"))).withColumn("__edge", F.when(F.col("__range") == F.col("__cut"), words(F.col("text"))))
+    here = here.join(maybe_broadcast(edge, edge.count()), F.col("source").eqNullSafe(F.col("__es")) & F.col("doc_id").eqNullSafe(F.col("__ed")) & (F.col("__edge") == F.col("__size")), "left")
+    more = F.when(F.col("__range") < F.col("__cut"), F.lit(1)).otherwise(F.coalesce("__more", F.lit(0)))
+    times = F.when(F.rlike("text", F.lit(WORD)), (F.col("__epochs") + more).cast("int")).otherwise(F.lit(0))
+    return here.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
