@@ -30,7 +30,7 @@ RUN_TOKENS = 6
 PAGES = 3
 #: Share of a block's tokens that are repeated from which on it is boilerplate.
 COVERED = 0.5
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 20
 
 #: Elements that start and end a block.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
