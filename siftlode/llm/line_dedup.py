@@ -61,6 +61,8 @@ def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     n = bad.count()
     # sets of hashes depend on the text alone, so documents with equal texts share one, whatever their ids
     own = _hashes(d, F.xxhash64("text").alias("k")).join(maybe_broadcast(bad, n), "h", "left_semi").groupBy("k").agg(F.collect_set("h").alias("bad"))
+    # as a table, so that the join below is free to split a text that very many documents share
+    own = materialise(own)
     j = d.select("doc_id", "text", F.xxhash64("text").alias("k")).join(own, "k", "left")
     lines = _lines(F.col("text"))
     stay = F.filter(lines, lambda x: ~((F.length(x) >= MIN_CHARS) & F.array_contains("bad", F.xxhash64(x))))
