@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -41,6 +42,12 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have both collectors run, so that files of shuffles that no plan refers to any more leave the disks now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if the counted ``rows`` are within ``limit``; else leave the join to shuffle."""
     return F.broadcast(df) if rows <= limit else df

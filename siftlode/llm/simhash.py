@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, ship
+from .common import materialise, release, ship
 from .components import connected_components
 
 SHINGLE = 4
@@ -243,7 +243,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fps = materialise(with_fingerprints(docs, doc_id, text, shingle))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     # fingerprints are small and their keys many: a fixed number of tasks emits them
-    links = ball_links(distinct.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), radius)
+    links = materialise(ball_links(distinct.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), radius))
+    # the variants' shuffle is the largest by far, and done with
+    release(docs.sparkSession)
     roots = connected_components(links)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # components are looked up for distinct fingerprints; documents meet them by fingerprint alone
@@ -262,6 +264,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     Rows that repeat an id inside a component count as one document. A component whose ids are all null keeps one row.
     """
     found = materialise(near_duplicates(docs, doc_id, text, radius, shingle))
+    release(docs.sparkSession)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
     keep = materialise(keep)
     k = keep.select(F.col("doc_id").alias("__id"))
