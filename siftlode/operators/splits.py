@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cell_name, has_filter
+from ..sources.work import keep
 
 SEARCH = ("search_query", "search_location_id", "search_infm_params_text", "search_is_delivery_search", "search_category")
 CONTEXT = ("query_norm", *SEARCH[1:])
@@ -135,9 +136,10 @@ class Split:
 
 def build(train: DataFrame, items: DataFrame, n_unseen: int, n_seen: int, seed: int = 42) -> dict[str, Split]:
     """The variants ctx, ql and ctx_cold."""
-    t = with_corpus_flag(train, items)
-    chosen = choose(groups(t), n_unseen, n_seen, seed)
-    rest = rest_of(t, chosen)
+    t = keep(with_corpus_flag(train, items))
+    # the held-out groups are a few rows that everything else reads
+    chosen = keep(choose(groups(t), n_unseen, n_seen, seed))
+    rest = keep(rest_of(t, chosen))
     q, rel = materialize(t, chosen, rest)
     wide, rest_wide = widen(t, chosen)
     qw, relw = materialize(t, wide, rest_wide, QUERY_LOCATION)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import eda, fusion, history, metrics, pool, priors, splits, tune
 from ..sources import tables
+from ..sources.work import keep
 from . import recipe
-from .mapping import FIELDS, KEY_WEIGHTS, KEYS, NOISE, frames
+from .mapping import FIELDS, KEY_WEIGHTS, KEYS, NOISE, Frames, frames
 from .registry import register
 from .text_queries import ALL, sql, tfidf_ctes
 
@@ -22,7 +23,7 @@ def r6(c):
     return F.round(c, 6)
 
 
-def built(spark, sf_dir, keep=None):
+def built(spark, sf_dir):
     f = frames(spark, sf_dir)
     return f, recipe.build(f.train, f.items, f.queries, FIELDS, KEYS, KEY_WEIGHTS, NOISE)
 
@@ -341,7 +342,7 @@ ALL["pool"] = ("SELECT query_id, item_id, " + ", ".join(f"coalesce(min(rank) FIL
 
 def _pool(spark, sf_dir):
     f, b, t = _tops(spark, sf_dir, POOLED, DEPTH)
-    return f, b, pool.build_pool(t, DEPTH)
+    return f, b, keep(pool.build_pool(t, DEPTH))
 
 
 @register("pool_union", sql("SELECT * FROM pool", "pool"))
@@ -458,6 +459,7 @@ def split_eligibility(spark, sf_dir):
 
 def _splits(spark, sf_dir):
     f = frames(spark, sf_dir)
+    f = Frames(keep(f.train), keep(f.items), keep(f.queries))
     return f, splits.build(f.train.drop("in_corpus"), f.items, N_UNSEEN, N_SEEN, SEED)
 
 

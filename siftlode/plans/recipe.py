@@ -1,7 +1,7 @@
 """Assembly: from clicks, items and queries to the fused ranking.
 
-Every learned table takes the train slice that it may see as an argument. Components are lazy but kept once they are made,
-as several channels and every trial of a search read them; a lost part is made again. A term of weight 0 is never joined.
+Every learned table takes the train slice that it may see as an argument. Components are written once, as several
+channels and every trial of a search read them: a ranking's plan begins at their scans. A term of weight 0 is never joined.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import doc_text
 from ..operators import fusion, history, lexical, priors
 from ..operators.fusion import Components
+from ..sources.work import keep
 
 
 @dataclass(frozen=True)
@@ -33,27 +34,29 @@ def indexed(items: DataFrame) -> DataFrame:
 
 def build(train: DataFrame, items: DataFrame, queries: DataFrame, fields: Sequence[dict], keys: Sequence[str], key_weights: Mapping[str, float], noise: Sequence[str] = (), fallback: str = "self", match: str = "pair", memory_bonus: float = 1.0) -> Built:
     """All components for ``queries`` from the slice ``train``."""
-    train = train.select("query_norm", "search_location_id", "item_location_id", "item_microcat_id", "item_id").persist()
-    items, queries = items.persist(), queries.persist()
+    train = train.select("query_norm", "search_location_id", "item_location_id", "item_microcat_id", "item_id")
+    train, items, queries = keep(train), keep(items), keep(queries)
     it = indexed(items)
     q_locs, i_locs = queries.select(F.col("search_location_id").alias("search_loc")).distinct(), items.select(F.col("item_location_id").alias("item_loc")).distinct()
-    counts = priors.location_counts(train)
-    shares = priors.self_share(counts, q_locs, i_locs)
+    counts = keep(priors.location_counts(train))
+    shares = keep(priors.self_share(counts, q_locs, i_locs))
     mcs = items.select(F.col("item_microcat_id").alias("mc")).where("mc is not null").distinct()
-    texts = queries.select("query_norm").distinct()
+    texts = keep(queries.select("query_norm").distinct())
     q = queries.join(shares.select(F.col("search_loc").alias("search_location_id"), "is_agg"), "search_location_id", "left").select("query_id", "query_norm", F.col("search_location_id").alias("loc"), F.coalesce("search_infm_params_text", F.lit("")).alias("params"), F.coalesce("is_agg", F.lit(True)).alias("is_agg"))
+    q = keep(q)
     i = it.select("item_id", "idx", F.col("item_location_id").alias("loc"), F.col("item_microcat_id").alias("mc"), F.coalesce("item_infm_params_text", F.lit("")).alias("item_params"))
-    docs = items.select("item_id", doc_text(fields, noise).alias("text"))
-    filters = priors.filter_bonus(q.select("params"), i.select("item_params"), keys, key_weights, match).persist()
+    docs = keep(items.select("item_id", doc_text(fields, noise).alias("text")))
+    n_docs = docs.count()
+    filters = keep(priors.filter_bonus(q.select("params"), i.select("item_params"), keys, key_weights, match))
     pairs = {}
     for name in ("char", "word"):
         # distinct query texts meet the corpus once, however many queries share them
-        cos = lexical.text_cosine(texts, docs, "query_norm", "query_norm", "item_id", "text", name).persist()
+        cos = keep(lexical.text_cosine(texts, docs, "query_norm", "query_norm", "item_id", "text", name, n_docs))
         pairs[name] = q.select("query_id", "query_norm").join(cos.withColumnRenamed("q", "query_norm"), "query_norm").select("query_id", F.col("d").alias("item_id"), F.col("cos").alias(name))
     pairs["filter"] = q.select("query_id", "params").join(filters, "params").join(i.select("item_id", "item_params"), "item_params").select("query_id", "item_id", F.col("bonus").alias("filter"))
     pairs["memory"] = history.memory_scores(queries, train, items, memory_bonus).withColumnRenamed("s", "memory")
-    loc_p = priors.location_prior(counts, q_locs, i_locs, fallback).persist()
-    mc_p = priors.category_prior(texts, priors.category_distribution(train, mcs)).persist()
+    loc_p = keep(priors.location_prior(counts, q_locs, i_locs, fallback))
+    mc_p = keep(priors.category_prior(texts, keep(priors.category_distribution(train, mcs))))
     c = Components(q, i, loc_p, mc_p, mcs.count(), pairs)
     return Built(c, counts, priors.location_centroids(items, counts), shares, filters)
 
@@ -61,5 +64,5 @@ def build(train: DataFrame, items: DataFrame, queries: DataFrame, fields: Sequen
 
 
 def rank_channels(c: Components, channels: Mapping[str, Mapping[str, float]], depth: int) -> dict[str, DataFrame]:
-    """Each channel's ranking to ``depth``, by its own weights."""
-    return {n: fusion.topk_linear(c, w, depth) for n, w in channels.items()}
+    """Each channel's ranking to ``depth``, by its own weights, written once."""
+    return {n: keep(fusion.topk_linear(c, w, depth)) for n, w in channels.items()}

@@ -1,0 +1 @@
+"""Nothing here: the engine is batch only, and no query of it is a stream."""
