@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a side may have to be broadcast; a larger side is shuffled.
 BROADCAST_ROWS = 200_000
+#: Words of 64 bits in the filter of listed ids, a power of two; it is broadcast and has no more rows than these.
+FILTER_WORDS = 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,32 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
+def part_by_ids(rows: DataFrame, column: str, ids: DataFrame, listed: str, n_words: int = FILTER_WORDS) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose ``column`` is surely not among ``ids``, and those where it may be.
+
+    A Bloom filter of bounded size tells them apart, two bits of one word for an id, null being an id like others. Only the
+    second part needs an exact join, so that where few ids are listed, few of the wide rows are shuffled. However many are
+    listed, no id is missed: the second part grows with the share of bits that are set.
+    """
+    p = own_prefix(rows)
+    bit = lambda n: f"shiftleft(1L, cast(shiftrightunsigned({p}h, {n}) & 63 as int))"
+    bits, word = F.expr(f"{bit(0)} | {bit(6)}"), F.shiftrightunsigned(f"{p}h", 64 - (n_words - 1).bit_length())
+    hashed = ids.select(F.xxhash64(listed).alias(f"{p}h")).select(word.alias(f"{p}word"), bits.alias(f"{p}bits"))
+    filter_ = materialise(hashed.groupBy(f"{p}word").agg(F.bit_or(f"{p}bits").alias(f"{p}set")))
+    asked = rows.withColumn(f"{p}h", F.xxhash64(column)).withColumn(f"{p}at", word).withColumn(f"{p}bits", bits)
+    asked = asked.join(F.broadcast(filter_), F.col(f"{p}at") == F.col(f"{p}word"), "left")
+    may = F.coalesce(F.col(f"{p}set").bitwiseAND(F.col(f"{p}bits")) == F.col(f"{p}bits"), F.lit(False))
+    return asked.where(~may).select(*rows.columns), asked.where(may).select(*rows.columns)
+
+
+def own_prefix(df: DataFrame) -> str:
+    """A prefix of underscores that no column of ``df`` begins with."""
+    p = "__"
+    while any(c.startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
 def words(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, release, ship
+from .common import materialise, own_prefix, part_by_ids, release, ship
 from .components import connected_components
 
 SHINGLE = 4
@@ -247,10 +247,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # the variants' shuffle is the largest by far, and done with
     release(docs.sparkSession)
     roots = connected_components(links)
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # components are looked up for distinct fingerprints; documents meet them by fingerprint alone
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = named.select("fp", "root").join(least, "root").select("fp", "component_id")
+    named = materialise(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
+    # components are looked up for distinct fingerprints that have links; documents meet them by fingerprint alone.
+    # As tables, both sides leave the join free to split a root that very many fingerprints share.
+    least = materialise(named.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id")))
+    linked = named.where("root is not null").join(least, "root").select("fp", "component_id")
+    of_fp = materialise(named.where("root is null").select("fp", F.col("least").alias("component_id")).union(linked))
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -265,12 +267,14 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     found = materialise(near_duplicates(docs, doc_id, text, radius, shingle))
     release(docs.sparkSession)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
-    keep = materialise(keep)
-    k = keep.select(F.col("doc_id").alias("__id"))
-    kept = docs.join(k, F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
-    repeats = keep.where("__n > 1").select(F.col("doc_id").alias("__id"))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    listed = f"{own_prefix(docs)}id"
+    # ids of which no row stays, or several would
+    odd = materialise(found.groupBy(F.col("doc_id").alias(listed)).agg(F.count_if(stays).alias("n")).where("n <> 1"))
+    single, possible = part_by_ids(docs, doc_id, odd, listed)
+    same = F.col(doc_id).eqNullSafe(F.col(listed))
+    kept = single.unionByName(possible.join(odd.select(listed), same, "left_anti"))
+    repeats = odd.where("n > 1").select(listed)
     if repeats.isEmpty():
         return kept
-    once = kept.join(repeats, F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([doc_id])
-    return kept.join(repeats, F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti").unionByName(once)
+    return kept.unionByName(possible.join(repeats, same, "left_semi").dropDuplicates([doc_id]))

@@ -3,8 +3,9 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from siftlode.llm import components, simhash
+from siftlode.llm import common, components, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -87,7 +88,7 @@ def test_near_duplicates(spark):
 
 def test_one_document_stays(spark):
     rows = [(5, "a b c d e", 1), (2, "a b c d e", 2), (2, "a b c d e", 3), (7, "p q r s t u", 4), (None, "x y z v w", 5), (8, None, 6), (9, "", 7)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int").withColumn("__id", F.lit(1))
     out = simhash.drop_near_duplicates(docs)
     assert out.columns == docs.columns
     assert sorted((r.doc_id or -1 for r in out.collect())) == [-1, 2, 7, 8]
@@ -108,3 +109,13 @@ def test_components_of_a_chain_a_star_and_a_clique(spark):
     assert sorted(map(sorted, groups.values())) == [list(range(7, 60)), list(range(100, 161)), list(range(200, 212))]
     assert all(r in g for r, g in groups.items())
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_rows_are_parted_without_missing_an_id(spark):
+    rows = spark.createDataFrame([(i % 700, "x") for i in range(1400)] + [(None, "n")], "doc_id long, __set string")
+    for ids, n_words in (([*range(0, 700, 9), None], 1 << 17), (list(range(350)), 4), ([], 1 << 17)):
+        away, near = common.part_by_ids(rows, "doc_id", spark.createDataFrame([(i,) for i in ids], "listed long"), "listed", n_words)
+        assert away.columns == near.columns == rows.columns
+        a, b = [r.doc_id for r in away.collect()], [r.doc_id for r in near.collect()]
+        assert len(a) + len(b) == 1401 and not set(ids) & set(a)
+        assert n_words == 4 or len(b) <= 2 * len(ids) + 4
