@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, own_prefix, part_by_ids
 
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 WINDOW = 13
@@ -87,5 +87,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents that contain a benchmark item; rows that share an id share its fate."""
-    bad = materialise(contaminated(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti")
+    listed = f"{own_prefix(docs)}id"
+    bad = materialise(contaminated(docs, benchmark, doc_id, text).select(F.col("doc_id").alias(listed)).distinct())
+    clean, possible = part_by_ids(docs, doc_id, bad, listed)
+    return clean.unionByName(possible.join(bad, F.col(doc_id).eqNullSafe(F.col(listed)), "left_anti"))
