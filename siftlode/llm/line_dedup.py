@@ -5,12 +5,16 @@ hash, merged from partial sketches, so a line that a third of all rows hold send
 is clearly above or under the threshold are decided by it; those near it get exact distinct counts. The lines found
 leave every document. All of it is DataFrame functions.
 
-The lines to leave are joined with the hashes of lines, not with texts; what comes back to a document is the set of
-its own lines' hashes, keyed by its text.
+If the lines to leave are few enough, by a count, their hashes are a constant table that each line is looked up in, and no
+text is moved. Else they are joined with the hashes of lines, not with texts; what comes back to a document is the set
+of its own lines' hashes, keyed by its text.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,8 @@ MIN_CHARS = 20
 LG_K = 12
 #: Estimates within this share of the threshold, and at least 1, are near it: over five standard errors of a sketch.
 NEAR = 0.1
+#: Lines to leave that may be a constant table in the plan (under 1 MB); more are joined.
+LOOKUP_ROWS = 20_000
 
 
 def _lines(text: Column) -> Column:
@@ -48,7 +54,17 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -
     return wide.where(F.col("sites") > min_sites + slack).union(exact.where(F.col("sites") >= min_sites))
 
 
-def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def _lookup(bad: DataFrame, n: int) -> Callable[[Column], Column]:
+    """Whether a hash is among the ``n`` of ``bad``: a hash table of short arrays, a constant of the plan."""
+    width = 1 << (2 * n).bit_length()
+    slots: list[list[int]] = [[] for _ in range(width)]
+    for r in bad.collect():
+        slots[r["h"] & (width - 1)].append(r["h"])
+    table = F.from_json(F.lit(json.dumps(slots)), "array<array<bigint>>")
+    return lambda h: F.array_contains(F.get(table, h.bitwiseAND(F.lit(width - 1).cast("long")).cast("int")), h)
+
+
+def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
     """(doc_id, text, n_lines, n_removed): one row a row of ``docs``, its text without the lines that spread over
     ``min_sites`` sites or more.
 
@@ -59,13 +75,20 @@ def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(site).alias("site"))
     bad = materialise(boilerplate(d, min_sites).select("h"))
     n = bad.count()
+    lines = _lines(F.col("text"))
+    long_enough = lambda x: F.length(x) >= MIN_CHARS
+    if n <= lookup_rows:
+        listed = _lookup(bad, n)
+        left_over = F.filter(lines, lambda x: ~(long_enough(x) & listed(F.xxhash64(x))))
+        out = d.withColumn("left", left_over).withColumn("n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long"))
+        size = F.coalesce(F.when(F.col("text").isNotNull(), F.size("left")), F.lit(0))
+        return out.select("doc_id", F.array_join("left", "\n").alias("text"), "n_lines", (F.col("n_lines") - size).cast("long").alias("n_removed"))
     # sets of hashes depend on the text alone, so documents with equal texts share one, whatever their ids
     own = _hashes(d, F.xxhash64("text").alias("k")).join(maybe_broadcast(bad, n), "h", "left_semi").groupBy("k").agg(F.collect_set("h").alias("bad"))
     # as a table, so that the join below is free to split a text that very many documents share
     own = materialise(own)
     j = d.select("doc_id", "text", F.xxhash64("text").alias("k")).join(own, "k", "left")
-    lines = _lines(F.col("text"))
-    stay = F.filter(lines, lambda x: ~((F.length(x) >= MIN_CHARS) & F.array_contains("bad", F.xxhash64(x))))
+    stay = F.filter(lines, lambda x: ~(long_enough(x) & F.array_contains("bad", F.xxhash64(x))))
     out = j.withColumn("left", F.when(F.col("bad").isNull(), lines).otherwise(stay)).withColumn("n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long"))
     left = F.coalesce(F.when(F.col("text").isNotNull(), F.size("left")), F.lit(0))
     return out.select("doc_id", F.when(F.col("bad").isNull(), F.col("text")).otherwise(F.array_join("left", "\n")).alias("text"), "n_lines", (F.col("n_lines") - left).cast("long").alias("n_removed"))

@@ -255,6 +255,8 @@ def test_line_dedup(spark):
     got = sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.remove_boilerplate(docs(spark, rows)).collect() if r.text is not None)
     assert (0, "own line number 0 of document\nshort", 3, 1) in got and got.count((0, "own line number 0 of document\nshort", 3, 1)) == 2
     assert (51, "", 1, 0) in got and (52, "", 1, 1) in got
+    joined = line_dedup.remove_boilerplate(docs(spark, rows), lookup_rows=0).collect()
+    assert sorted(map(str, joined)) == sorted(map(str, line_dedup.remove_boilerplate(docs(spark, rows)).collect()))
     none = line_dedup.remove_boilerplate(docs(spark, rows), min_sites=14).collect()
     assert not any(r.n_removed for r in none) and len(none) == len(rows)
     assert line_dedup.remove_boilerplate(docs(spark, rows).limit(0)).collect() == []
