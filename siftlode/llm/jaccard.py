@@ -1,0 +1,237 @@
+"""Near-duplicates at a stated Jaccard similarity: an exact prefix-filtered join of word shingles.
+
+A document is the set of its shingles' XXH64 hashes; equal sets are one. In one order of all shingles, two sets of
+similarity ``SIMILAR`` or more share one of the first n - ceil(t * n) + 1 of each, so only those meet in a shuffle. Any
+order is exact; shingles that a sample of the texts repeats come last, the most frequent at the end, so that common
+passages rarely make candidates. How many shingles of a set fall in each of some buckets bounds what two sets can share;
+candidates that may still be similar enough get their similarity from the whole sets.
+
+Where sets that share a shingle are many, each is first checked against one of them, drawn anew each round. What is
+linked by then needs no further look; when few pairs are left between components, all of those are checked. Links are
+found so that their components are those of all pairs; pairs within a component are not listed.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import materialise, part_by_ids, release, ship
+from .components import connected_components
+from .simhash import SEED, keep_least
+
+SHINGLE = 5
+#: Least similarity, as a fraction of whole numbers.
+SIMILAR = (4, 5)
+#: One text of so many is in the sample; at most so many shingles are ordered by their counts in it.
+SAMPLE = 16
+COMMON = 200_000
+#: All pairs between components are checked once they are at most so many a row, or after so many rounds.
+PAIRS_A_ROW = 4
+ROUNDS = 6
+
+ship(__name__)
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending; words and short texts as in ``simhash.fingerprint``."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    digest, join = xxhash.xxh64_digest, b" ".join
+    grams = zip(*(w[i:] for i in range(shingle)), strict=False) if len(w) >= shingle else [tuple(w)]
+    return np.unique(np.frombuffer(b"".join([digest(join(g), SEED) for g in grams]), ">u8").astype(np.uint64))
+
+
+def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray, similar: tuple[int, int] = SIMILAR) -> np.ndarray:
+    """The shingles of a set that one of every set as similar must share; ``common`` ascends."""
+    n = len(own)
+    if not n:
+        return own
+    weight = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        weight = np.where(common[at] == own, counts[at], 0)
+    return own[np.lexsort((own, weight))[: n + 1 + (-n * similar[0]) // similar[1]]]
+
+
+def counts_by_bucket(own: np.ndarray) -> bytes:
+    """How many shingles fall in each bucket, by their last bits: two to four a bucket. Empty if one holds over 255."""
+    width = 1 << max(6, (len(own) // 4).bit_length())
+    n = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+
+
+def most_shared(a: bytes, b: bytes) -> int | None:
+    """What two sets can share at most by their counts; None: unknown."""
+    if not a or not b:
+        return None
+    x, y = (np.frombuffer(c, np.uint8).astype(np.int64) for c in (a, b))
+    width = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, width).sum(axis=0), y.reshape(-1, width).sum(axis=0)).sum())
+
+
+def common_shingles(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ascending, and counts) of the shingles most repeated in a sample of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), shingle).view(np.int64))], names=["s"])
+
+    drawn = docs.where(F.pmod(F.xxhash64(F.col(text)), F.lit(SAMPLE)) == 0).select(text)
+    counted = materialise(drawn.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    least, total = None, 0
+    for r in sorted(counted.groupBy("n").agg(F.count(F.lit(1)).alias("held")).collect(), key=lambda r: -r["n"]):
+        total += r["held"]
+        if total > most:
+            break
+        least = r["n"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    got = counted.where(F.col("n") >= least).select("s", "n").toArrow()
+    s, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def with_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, th, k, n, prefix, counts): one row a row of ``docs``. th: hash of the text as it is; k: hash of its set of
+    shingles; n: their number; prefix: those of the prefix; counts: by bucket."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, shingle))
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("th", T.LongType()), T.StructField("k", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("counts", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, sizes, ends, parts, counts = [], [], [0], [], []
+            for t in b.column(1):
+                own = shingles(t.as_py(), shingle)
+                first = prefix(own, *shared.value)
+                keys.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+                sizes.append(len(own))
+                parts.append(first)
+                counts.append(counts_by_bucket(own))
+                ends.append(ends[-1] + len(first))
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists, pa.array(counts, pa.binary())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _sets(docs: DataFrame, found: DataFrame, wanted: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """(k, own): the whole sets of ``wanted`` (k), from one row of each; only those rows' texts move. Where a row stands
+    several times, so may its set, once a task."""
+    one = materialise(found.select("doc_id", "th", "k").join(wanted, "k", "left_semi").groupBy("k").agg(F.max(F.struct("th", "doc_id")).alias("row")).select("k", F.col("row.th").alias("__th"), F.col("row.doc_id").alias("__id")))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    _, near = part_by_ids(rows, "doc_id", one, "__id")
+    near = near.withColumn("th", F.xxhash64("text"))
+    own = near.join(one, (F.col("th") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("k", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if k not in seen:
+                    seen.add(k)
+                    sets = [shingles(t.as_py(), shingle).view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["k", "own"])
+
+    return materialise(own.mapInArrow(run, "k long, own array<long>"))
+
+
+def _possible(pairs: DataFrame, found: DataFrame, wanted: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(u, v): those of ``pairs`` (u, v) that may be similar enough by their counts."""
+    of = materialise(found.select("k", "n", "counts").join(wanted, "k", "left_semi").groupBy("k").agg(F.max("n").alias("n"), F.max("counts").alias("counts")))
+    a = of.select(F.col("k").alias("u"), F.col("n").alias("nu"), F.col("counts").alias("cu"))
+    b = of.select(F.col("k").alias("v"), F.col("n").alias("nv"), F.col("counts").alias("cv"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            stay = []
+            for nu, cu, nv, cv in zip(*(t.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                most = most_shared(cu, cv)
+                stay.append(most is None or most * sum(similar) >= similar[0] * (nu + nv))
+            yield t.select(["u", "v"]).filter(pa.array(stay, pa.bool_()))
+
+    met = pairs.join(a, "u").join(b, "v").select("u", "v", "nu", "cu", "nv", "cv")
+    return materialise(met.mapInArrow(run, "u long, v long"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(u, v): those of ``pairs`` (u, v) whose sets are similar enough."""
+    a = sets.select(F.col("k").alias("u"), F.col("own").alias("one"))
+    b = sets.select(F.col("k").alias("v"), F.col("own").alias("other"))
+    both = F.size(F.array_intersect("one", "other")).cast("long")
+    return pairs.join(a, "u").join(b, "v").where(both * sum(similar) >= similar[0] * (F.size("one").cast("long") + F.size("other"))).select("u", "v")
+
+
+def similar_links(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR, pairs_a_row: int = PAIRS_A_ROW) -> DataFrame:
+    """Links (u, v) of sets (k) of ``found``, what ``with_sets`` gives: their components are those of all pairs of
+    sets that are similar enough."""
+    rows = found.select("k", "n", F.explode("prefix").alias("s"))
+    shared = materialise(rows.groupBy("s").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select(F.col("s").alias("shared")))
+    _, near = part_by_ids(rows, "s", shared, "shared")
+    keyed = materialise(near.join(shared, F.col("s") == F.col("shared"), "left_semi").distinct())
+    release(docs.sparkSession)
+    links = keyed.select(F.col("k").alias("u"), F.col("k").alias("v")).limit(0)
+    roots = None
+    for n in range(ROUNDS + 1):
+        if roots is None:
+            here = keyed.withColumn("c", F.col("k"))
+        else:
+            here = keyed.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("root", "k")).drop("root")
+        # shingles whose sets are of one component have no more to tell
+        size = here.groupBy("s", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("k", F.lit(n)).alias("h"), "k", "n", "c")).alias("lead"))
+        size = size.groupBy("s").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("within"), F.min("lead").alias("lead"))
+        open_ = materialise(size.where("within < m * m").select("s", "m", ((F.col("m") * F.col("m") - F.col("within")) / 2).alias("pairs"), F.col("lead.k").alias("lk"), F.col("lead.n").alias("ln"), F.col("lead.c").alias("lc")))
+        total = open_.agg(F.sum("m").alias("m"), F.sum("pairs").alias("pairs")).first()
+        if total["m"] is None:
+            break
+        last = n == ROUNDS or total["pairs"] <= pairs_a_row * total["m"]
+        here = materialise(here.join(open_.select("s"), "s", "left_semi") if last else here.join(open_, "s"))
+        if last:
+            other = here.select("s", F.col("k").alias("lk"), F.col("n").alias("ln"), F.col("c").alias("lc"))
+            met = here.join(other, "s").where("k < lk and c <> lc")
+        else:
+            met = here.where("c <> lc")
+        near_size = F.least("n", "ln").cast("long") * similar[1] >= F.greatest("n", "ln").cast("long") * similar[0]
+        pairs = materialise(met.where(near_size).select(F.least("k", "lk").alias("u"), F.greatest("k", "lk").alias("v")).distinct())
+        ends = lambda p: materialise(p.select(F.explode(F.array("u", "v")).alias("k")).distinct())
+        pairs = _possible(pairs, found, ends(pairs), similar)
+        links = materialise(links.union(_similar(pairs, _sets(docs, found, ends(pairs), doc_id, text, shingle), similar)))
+        release(docs.sparkSession)
+        if last:
+            break
+        roots = connected_components(links)
+    return links
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """(doc_id, component_id): one row a row of ``docs``.
+
+    component_id: the smallest doc_id reachable over pairs whose sets of shingles have a Jaccard similarity of
+    ``similar`` or more, itself included (ids that are null don't count; null if a component has no other). Texts
+    without words, and null, have one empty set. An empty table gives an empty one.
+    """
+    found = materialise(with_sets(docs, doc_id, text, shingle))
+    distinct = found.groupBy("k").agg(F.min("doc_id").alias("least"))
+    roots = connected_components(similar_links(docs, found, doc_id, text, shingle, similar))
+    named = materialise(distinct.join(roots.withColumnRenamed("node", "k"), "k", "left"))
+    # as tables, both sides leave the joins free to split a root or a set that very many documents share
+    least = materialise(named.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id")))
+    linked = named.where("root is not null").join(least, "root").select("k", "component_id")
+    of_set = materialise(named.where("root is null").select("k", F.col("least").alias("component_id")).union(linked))
+    return found.select("doc_id", "k").join(of_set, "k").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """``docs`` with one row of each component, as ``simhash.drop_near_duplicates``."""
+    return keep_least(docs, near_duplicates(docs, doc_id, text, shingle, similar), doc_id)

@@ -265,7 +265,12 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Rows that repeat an id inside a component count as one document. A component whose ids are all null keeps one row.
     """
-    found = materialise(near_duplicates(docs, doc_id, text, radius, shingle))
+    return keep_least(docs, near_duplicates(docs, doc_id, text, radius, shingle), doc_id)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component of ``found`` (doc_id, component_id): that with the smallest id."""
+    found = materialise(found)
     release(docs.sparkSession)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     listed = f"{own_prefix(docs)}id"

@@ -1,0 +1,112 @@
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from siftlode.llm import jaccard
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def slow_set(text):
+    w = (text or "").lower().split()
+    return frozenset(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([" ".join(w)] if w else [])
+
+
+def slow_components(rows):
+    """The least id of each row's component, by all pairs."""
+    sets = [slow_set(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            least[find(i)] = min(k, least.get(find(i), k))
+    return [least.get(find(i)) for i in range(len(rows))]
+
+
+def edited(rnd, words, n):
+    """``words`` with ``n`` of them replaced."""
+    w = list(words)
+    for i in rnd.sample(range(len(w)), n):
+        w[i] = f"other{rnd.random()}"
+    return w
+
+
+def corpus(rnd):
+    line = [f"line{i}" for i in range(15)]  # a passage that most documents hold
+    texts = []
+    for _ in range(50):
+        t = [f"w{rnd.randrange(400)}" for _ in range(rnd.randint(3, 120))] + (line if rnd.random() < 0.7 else [])
+        texts.append(t)
+        for n in rnd.sample(range(8), 3):
+            texts.append(edited(rnd, t, min(n, len(t))))
+    hub = [f"hub{i}" for i in range(200)]
+    texts += [edited(rnd, hub, rnd.randint(0, 5)) for _ in range(120)]  # one large group of near copies
+    rows = [(3 * i, " ".join(t)) for i, t in enumerate(texts)]
+    rnd.shuffle(rows)
+    return [*rows, (1, None), (2, " \t"), (None, rows[0][1].upper()), (None, "nobody else"), (rows[1][0], rows[1][1]), (4, "one two"), (5, "One  two")]
+
+
+@pytest.mark.parametrize("pairs_a_row", [0, 4, 10**6])
+def test_components_are_those_of_all_pairs(spark, pairs_a_row, monkeypatch):
+    monkeypatch.setattr(jaccard, "ROUNDS", 2)
+    monkeypatch.setattr(jaccard.similar_links, "__defaults__", (*jaccard.similar_links.__defaults__[:-1], pairs_a_row))
+    rows = corpus(random.Random(3))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard.near_duplicates(docs).collect()), key=str)
+    assert got == sorted(zip([k for k, _ in rows], slow_components(rows), strict=True), key=str)
+
+
+def test_the_pipeline_takes_copies_at_a_similarity_of_0_8(spark):
+    rnd = random.Random(8)
+    rows = []
+    for i in range(40):
+        t = [f"w{rnd.randrange(3000)}" for _ in range(100)]
+        rows += [(10 * i + 1, " ".join(t)), (10 * i + 2, " ".join(edited(rnd, t, 1))), (10 * i + 3, " ".join(edited(rnd, t, 2)))]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], SCHEMA)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    want = {k for (k, _), least in zip(rows, slow_components(rows), strict=True) if k == least}
+    assert len(want) < 60  # most copies are of 0.8 or more
+    assert {r.doc_id for r in kept.collect()} == want
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 9, 10, 96])
+def test_prefix_lengths(n):
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    assert len(jaccard.prefix(np.arange(n, dtype=np.uint64), *none)) == n - -(-4 * n // 5) + 1
+
+
+def test_common_shingles_come_last():
+    own, common = np.arange(10, dtype=np.uint64), np.array([0, 1, 2], np.uint64)
+    assert jaccard.prefix(own, common, np.array([5, 9, 2])).tolist() == [3, 4, 5]
+    assert jaccard.prefix(own, own, np.array([5, 9, 2, 9, 9, 9, 9, 9, 9, 1])).tolist() == [9, 2, 0]
+
+
+def test_counts_bound_what_is_shared():
+    rnd = np.random.default_rng(4)
+    for n, m, both in ((5, 6, 2), (300, 280, 250), (5000, 4000, 3900), (1000, 100, 100)):
+        x = rnd.integers(0, 2**64, n + m, np.uint64)
+        a, b = np.unique(x[:n]), np.unique(x[n - both : n - both + m])
+        most = jaccard.most_shared(jaccard.counts_by_bucket(a), jaccard.counts_by_bucket(b))
+        assert both <= most <= min(n, m)
+    assert jaccard.counts_by_bucket(np.arange(300, dtype=np.uint64) << np.uint64(32)) == b""
+    assert jaccard.most_shared(b"", b"\1" * 64) is None
+
+
+def test_empty(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert jaccard.near_duplicates(empty).collect() == []
+    assert jaccard.drop_near_duplicates(empty).collect() == []
