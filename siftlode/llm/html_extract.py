@@ -186,11 +186,11 @@ def extract(pages: list[str | None]) -> list[tuple[str, int, int]]:
     streams = [np.array([names.setdefault(w, len(names)) for _, t in page for w in t.split(" ")], np.int64) for page in parsed]
     out = []
     for page, seen in zip(parsed, repeated(streams), strict=True):
-        has_article, at, kept = any(z == "article" for z, _ in page), 0, []
+        at, kept = 0, []
         for zone, text in page:
             n = text.count(" ") + 1
             share, at = seen[at : at + n].mean(), at + n
-            if zone == "article" or (zone == "open" and not has_article and share < COVERED):
+            if zone == "article" or (zone == "open" and share < COVERED):
                 kept.append(text)
         out.append(("\n".join(kept), len(seen), int(seen.sum())))
     return out
