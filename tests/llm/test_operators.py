@@ -249,16 +249,31 @@ def test_embedding_links_against_brute_force(spark, tile):
 # ---- lines
 
 
+def slow_clean(rows, min_sites, min_chars=1):
+    sites = {}
+    for _, t, s in rows:
+        for x in (t or "").split("\n") if t is not None else []:
+            sites.setdefault(x, set()).add(s)
+    out = []
+    for i, t, _ in rows:
+        own = t.split("\n") if t is not None else []
+        left = [x for x in own if len(x) < min_chars or len(sites[x]) < min_sites]
+        out.append((i, "\n".join(left) if t is not None else None, len(own), len(own) - len(left)))
+    return sorted(out, key=str)
+
+
 def test_line_dedup(spark):
+    rnd = random.Random(5)
     line = "this line stands on every site of all"
-    rows = [(i, f"own line number {i} of document\n{line}\nshort", f"s{i}") for i in range(12)] + [(50, None, "s1"), (51, "", None), (52, line, None), (0, f"own line number 0 of document\n{line}\nshort", "s0")]
-    got = sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.remove_boilerplate(docs(spark, rows)).collect() if r.text is not None)
-    assert (0, "own line number 0 of document\nshort", 3, 1) in got and got.count((0, "own line number 0 of document\nshort", 3, 1)) == 2
-    assert (51, "", 1, 0) in got and (52, "", 1, 1) in got
-    joined = line_dedup.remove_boilerplate(docs(spark, rows), lookup_rows=0).collect()
-    assert sorted(map(str, joined)) == sorted(map(str, line_dedup.remove_boilerplate(docs(spark, rows)).collect()))
-    none = line_dedup.remove_boilerplate(docs(spark, rows), min_sites=14).collect()
-    assert not any(r.n_removed for r in none) and len(none) == len(rows)
+    rows = [(i, f"own line number {i} of document\n{line}\nshort\n\nx", f"s{i}") for i in range(12)] + [(50, None, "s1"), (51, "", None), (52, line, None), (0, f"own line number 0 of document\n{line}\nshort", "s0"), (None, "\n\nshort\n", "s1"), (53, line + " " + "long " * 100_000 + "\nshort", "s2")]
+    rows += [(100 + i, "\n".join(rnd.choice(["a", "b b", "", "c", f"u{i}", f"v{i % 7}"]) for _ in range(rnd.randrange(9))), f"s{rnd.randrange(14)}") for i in range(300)]
+    rows += [(700 + i, "one of very many copies\nshort", "s3") for i in range(200)]
+    d = docs(spark, rows).withColumn("k", F.lit(1)).withColumn("site", F.lit("clash")).withColumn("bad", F.lit("clash")).withColumn("__h", F.lit("clash"))
+    for sites, chars in ((10, 1), (3, 1), (10, 20), (14, 1)):
+        got = line_dedup.remove_boilerplate(d, min_sites=sites, min_chars=chars).collect()
+        assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got), key=str) == slow_clean(rows, sites, chars)
+    assert any(r.text == "" and r.n_removed for r in line_dedup.remove_boilerplate(d).collect())
+    assert not any(r.n_removed for r in line_dedup.remove_boilerplate(d, min_sites=400).collect())
     assert line_dedup.remove_boilerplate(docs(spark, rows).limit(0)).collect() == []
 
 
