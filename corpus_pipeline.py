@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import decontam, jaccard, mixing, quality, sharding
+from siftlode.llm import decontam, mixing, quality, sharding, simhash
 from siftlode.llm.common import table, work_dir
 
 SHARDS = 16
@@ -21,9 +21,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates: pairs whose sets of five-word shingles
-    have a Jaccard similarity of 0.8 or more, and what chains of them connect."""
-    return jaccard.drop_near_duplicates(docs, shingle=5, similar=(4, 5))
+    """One document, that with the smallest id, of each group of near-duplicates: pairs that SimHash finds and whose sets of
+    five-word shingles have a Jaccard similarity of 0.8 or more, and what chains of them connect."""
+    return simhash.drop_similar(docs, shingle=5, similar=(4, 5))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality classifier", quality_stage),
-    ("near-dedup at Jaccard 0.8", near_duplicate_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
     ("benchmark decontamination", decontamination_stage),
     ("mixing sources to target weights", mixing_stage),
     ("sharding", sharding_stage),

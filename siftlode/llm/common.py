@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 #: Words of 64 bits in the filter of listed ids, a power of two; it is broadcast and has no more rows than these.
 FILTER_WORDS = 1 << 17
+#: Setting under which a query's shuffle files are deleted at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,13 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share.
+    """A new path in the folder that driver and executors share, the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; one below the current folder is set only where
-    the session names none (tests, a single machine).
+    Where the session names none, a temporary folder is set if the master is local (tests, a single machine); a cluster
+    must name one, as a folder of one machine would lose rows there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(os.environ.get("TMPDIR", "/tmp"), "checkpoints")
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(base)
@@ -37,19 +42,18 @@ def work_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts the lineage for good:
-    a lost executor costs a reread, never a recomputation."""
+    a lost executor costs a reread, never a recomputation. The shuffles behind it leave the disks when it is written."""
     spark = df.sparkSession
     path = path or work_dir(spark)
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Have both collectors run, so that files of shuffles that no plan refers to any more leave the disks now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if the counted ``rows`` are within ``limit``; else leave the join to shuffle."""
     return F.broadcast(df) if rows <= limit else df
@@ -92,6 +96,27 @@ def hex_key(*parts: Column, digits: int = 15) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, digits), 16, 10).cast("long")
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables of rows that agree in ``keys``; such rows stand together."""
+    rest: list[pa.Table] = []
+    key = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        start = 0
+        for i, k in enumerate(zip(*(t.column(c).to_pylist() for c in keys), strict=True)):
+            if k != key:
+                if i > start:
+                    rest.append(t.slice(start, i - start))
+                if rest:
+                    yield pa.concat_tables(rest)
+                rest, key, start = [], k, i
+        rest.append(t.slice(start))
+    if rest:
+        yield pa.concat_tables(rest)
+
+
 def ship(module: str) -> None:
     """Send the functions of ``module`` to Python workers by value: executors need not have this package."""
     import sys
@@ -99,3 +124,6 @@ def ship(module: str) -> None:
     from pyspark import cloudpickle
 
     cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+ship(__name__)

@@ -8,13 +8,16 @@ at the end; nothing is collected.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, work_dir
+from .common import materialise, ship, work_dir
 
 MAX_ROUNDS = 100
 
+ship(__name__)
+
 
 def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, root) of every node that has a link to another node; a component's nodes share one root, a member.
@@ -45,3 +48,15 @@ def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFr
         step = m.select(F.col("node").alias("root"), "name")
         out = out.join(step, "root", "left").select("node", F.coalesce("name", "root").alias("root"))
     return materialise(out, f"{base}/roots")
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0 to n - 1 with links (a, b): the least node reachable from each."""
+    label, before = np.arange(n), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+    return label

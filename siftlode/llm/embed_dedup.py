@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, ship
-from .components import connected_components
+from .components import connected_components, forest
 
 THRESHOLD = 0.98
 CODE_BITS = 256
@@ -90,18 +90,6 @@ def with_codes(vectors: DataFrame, bits: int = CODE_BITS) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, kind long, dim int, vec array<double>, code binary, factor double")
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For nodes 0 to n - 1 with links (a, b): the least node reachable from each."""
-    label, before = np.arange(n), None
-    while before is None or (label != before).any():
-        before = label.copy()
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-    return label
-
-
 def compare(kind: np.ndarray, block: np.ndarray, x: np.ndarray, codes: np.ndarray, factors: np.ndarray, band: int, across: bool, threshold: float, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices (i, j), i < j, of the links in one tile that have ``band`` as the first band they share."""
     turned, _, _ = encode(x, bits)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, materialise, maybe_broadcast, part_by_ids, ship
+from .common import BROADCAST_ROWS, grouped, materialise, maybe_broadcast, part_by_ids, ship
 from .url_filter import split_url
 
 RUN_TOKENS = 6
@@ -331,27 +331,6 @@ def _extracted(pages: list[list[tuple[str, str]]]) -> list[tuple[str, int, int]]
     return [(choose(p, seen, widely), len(seen), int(seen.sum())) for p, seen, widely in zip(pages, *marks, strict=True)]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Tables of rows that agree in ``keys``; such rows stand together."""
-    rest: list[pa.Table] = []
-    key = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b])
-        start = 0
-        for i, k in enumerate(zip(*(t.column(c).to_pylist() for c in keys), strict=True)):
-            if k != key:
-                if i > start:
-                    rest.append(t.slice(start, i - start))
-                if rest:
-                    yield pa.concat_tables(rest)
-                rest, key, start = [], k, i
-        rest.append(t.slice(start))
-    if rest:
-        yield pa.concat_tables(rest)
-
-
 def _packed(rows: DataFrame) -> DataFrame:
     """``rows`` (page_id, url, host, chunks, html) with a chunk dealt out to each row and its blocks instead of the html."""
     schema = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("host", T.StringType()), T.StructField("chunk", T.IntegerType()), T.StructField("packed", T.BinaryType())])
@@ -384,7 +363,7 @@ def _small(rows: DataFrame) -> DataFrame:
     """The texts of hosts that are one chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ("host",)):
+        for t in grouped(batches, ("host",)):
             yield from _out(t, _extracted([unpack(x.as_py()) for x in t.column("packed")])).to_batches()
 
     dealt = _packed(rows.withColumn("chunks", F.lit(1)))
@@ -396,7 +375,7 @@ def _chunk_runs(rows: DataFrame, candidates: bool) -> DataFrame:
     what they have in their chunk, if ``candidates``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ("host", "chunk")):
+        for t in grouped(batches, ("host", "chunk")):
             own, n = Tokens(), t.column("pages")[0].as_py()
             streams = [own.stream(unpack(x.as_py())) for x in t.column("packed")]
             order, group, spread = shared_runs(streams)

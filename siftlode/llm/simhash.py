@@ -12,11 +12,16 @@ emits the lower halves of all variants of its keys in sorted runs of bounded len
 that too many fingerprints share are first dealt out by further bits. Where many meet, a variant links its members to
 the least of them, never all with all; a run gives a spanning forest of what it found, so the number of links stays in
 proportion to the fingerprints.
+
+One fingerprint of word shingles is within 4 bits for few pairs of a Jaccard similarity of 0.8. ``similar_documents``
+therefore gives each document several independent fingerprints of its set of words, which an edit changes less, lets each
+make candidates by ball hashing, and verifies the candidate groups exactly on sets of five-word shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -26,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, own_prefix, part_by_ids, release, ship
+from .common import materialise, own_prefix, part_by_ids, ship
 from .components import connected_components
+from .verify import SIMILAR, verified_links
 
 SHINGLE = 4
 RADIUS = 4
@@ -38,6 +44,9 @@ KEY_BITS = 16
 KEY_ROWS = 65_536
 #: Variants in a sorted run: what a task holds at once.
 RUN = 2_000_000
+#: Fingerprints of a document's words, and words of a shingle, where documents are to be similar.
+CODES = 4
+SIMILAR_SHINGLE = 5
 
 ship(__name__)
 
@@ -232,6 +241,11 @@ def ball_links(fps: DataFrame, radius: int = RADIUS, key_rows: int = KEY_ROWS, r
         used += KEY_BITS
 
 
+def _links(fps: DataFrame, radius: int) -> DataFrame:
+    # fingerprints are small and their keys many: a fixed number of tasks emits them
+    return materialise(ball_links(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))), radius))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): one row a row of ``docs``.
 
@@ -242,10 +256,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     fps = materialise(with_fingerprints(docs, doc_id, text, shingle))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    # fingerprints are small and their keys many: a fixed number of tasks emits them
-    links = materialise(ball_links(distinct.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), radius))
-    # the variants' shuffle is the largest by far, and done with
-    release(docs.sparkSession)
+    links = _links(distinct.select("fp"), radius)
     roots = connected_components(links)
     named = materialise(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
     # components are looked up for distinct fingerprints that have links; documents meet them by fingerprint alone.
@@ -268,10 +279,107 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     return keep_least(docs, near_duplicates(docs, doc_id, text, radius, shingle), doc_id)
 
 
+def word_codes(w: set[bytes], codes: int = CODES) -> list[int]:
+    """``codes`` independent 64-bit SimHashes of a set of words; 0 for none."""
+    if not w:
+        return [0] * codes
+    parts = [b"".join([xxhash.xxh3_128_digest(x, SEED + k) for x in w]) for k in range(-(-codes // 2))]
+    bits = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64) for p in parts])
+    return np.frombuffer(np.packbits(bits * 2 > len(w)).tobytes(), ">u8").tolist()[:codes]
+
+
+def shingle_set(text: str | None, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles; words and short texts as in ``fingerprint``."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return np.zeros(0, np.int64)
+    digest, join = xxhash.xxh64_digest, b" ".join
+    grams = zip(*(w[i:] for i in range(shingle)), strict=False) if len(w) >= shingle else [tuple(w)]
+    return np.unique(np.frombuffer(b"".join([digest(join(g), SEED) for g in grams]), "<i8"))
+
+
+def _with_codes(docs: DataFrame, doc_id: str, text: str, codes: int) -> DataFrame:
+    """(doc_id, th, t, codes): one row a row of ``docs``. th: hash of the text as it is; t: hash of its words."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("th", T.LongType()), T.StructField("t", T.LongType()), T.StructField("codes", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, flat = [], []
+            for t in b.column(1):
+                w = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                keys.append(xxhash.xxh3_64_intdigest(b" ".join(w), SEED))
+                flat += word_codes(set(w), codes)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, codes, dtype=np.int32)), pa.array(np.array(flat, np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(keys, np.uint64).view(np.int64)), lists], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _candidates(nodes: DataFrame, codes: int, radius: int) -> DataFrame:
+    """(t, root) of the nodes (t, codes) that some code puts in a group with others."""
+    edges = []
+    for i in range(codes):
+        own = nodes.select("t", F.get("codes", F.lit(i)).alias("fp"))
+        values = own.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+        links = _links(values.select("fp"), radius)
+        met = links.select(F.explode(F.array("u", "v")).alias("fp")).union(values.where("n > 1").select("fp")).distinct()
+        name = lambda c, i=i: F.xxhash64(F.lit(i), c)
+        edges.append(own.join(materialise(met), "fp").select(F.col("t").alias("u"), name("fp").alias("v")))
+        edges.append(links.select(name("u").alias("u"), name("v").alias("v")))
+    roots = connected_components(reduce(DataFrame.union, edges))
+    return roots.join(nodes.select(F.col("t").alias("node"), F.get("codes", F.lit(0)).alias("fp")), "node").withColumnRenamed("node", "t")
+
+
+def _sets(docs: DataFrame, found: DataFrame, wanted: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """(root, t, fp, own): the sets of ``wanted`` (t, root, fp), from one row of each; only those rows' texts move."""
+    one = materialise(found.select("doc_id", "th", "t").join(wanted.select("t"), "t", "left_semi").groupBy("t").agg(F.min(F.struct("th", "doc_id")).alias("row")).select("t", F.col("row.th").alias("lh"), F.col("row.doc_id").alias("id")))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("th", F.xxhash64("text"))
+    _, near = part_by_ids(rows, "th", one, "lh")
+    own = near.join(one, (F.col("th") == F.col("lh")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("t", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows that repeat give one set a task
+        for b in batches:
+            for t, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if t not in seen:
+                    seen.add(t)
+                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([shingle_set(x.as_py(), shingle)], pa.list_(pa.int64()))], names=["t", "own"])
+
+    sets = own.mapInArrow(run, "t long, own array<long>")
+    return materialise(sets.join(wanted, "t").select("root", "t", "fp", "own"))
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: tuple[int, int] = SIMILAR, shingle: int = SIMILAR_SHINGLE, codes: int = CODES, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, component_id): one row a row of ``docs``.
+
+    Linked are documents that some of ``codes`` fingerprints of their words put in one group and whose sets of shingles
+    have a Jaccard similarity of ``similar`` or more, which is checked exactly: no link is below it. A pair of
+    similarity 0.8 that no third document connects is missed if none of its codes is within ``radius`` bits (recall is
+    measured in the tests). component_id: the smallest doc_id reachable, itself included (ids that are null don't
+    count; null if a component has no other). Texts of the same words are one, those without words and null among
+    them. An empty table gives an empty one. Only ``doc_id`` and ``text`` are read.
+    """
+    found = materialise(_with_codes(docs, doc_id, text, codes))
+    nodes = materialise(found.groupBy("t").agg(F.first("codes").alias("codes"), F.min("doc_id").alias("least")))
+    wanted = materialise(_candidates(nodes, codes, radius))
+    roots = connected_components(verified_links(_sets(docs, found, wanted, doc_id, text, shingle), similar))
+    named = materialise(nodes.select("t", "least").join(roots.withColumnRenamed("node", "t"), "t", "left"))
+    least = materialise(named.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id")))
+    linked = named.where("root is not null").join(least, "root").select("t", "component_id")
+    of_node = materialise(named.where("root is null").select("t", F.col("least").alias("component_id")).union(linked))
+    return found.select("doc_id", "t").join(of_node, "t").select("doc_id", "component_id")
+
+
+def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each component of ``similar_documents``: that with the smallest id, as
+    ``drop_near_duplicates``."""
+    return keep_least(docs, similar_documents(docs, doc_id, text, **how), doc_id)
+
+
 def keep_least(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each component of ``found`` (doc_id, component_id): that with the smallest id."""
     found = materialise(found)
-    release(docs.sparkSession)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     listed = f"{own_prefix(docs)}id"
     # ids of which no row stays, or several would
