@@ -39,7 +39,7 @@ PAGES, SPREAD = 3, 100
 ARTICLE_PAGES, ARTICLE_SPREAD = 5, 2
 #: Share of a block's tokens that are repeated from which on it is boilerplate, outside an article and inside.
 COVERED, ARTICLE_COVERED = 0.5, 0.9
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 16 << 20
 
 #: Elements that start and end a block.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -292,12 +292,19 @@ def covered(starts: np.ndarray, total: int, run: int = RUN_TOKENS) -> np.ndarray
     return np.cumsum(marks)[:total] > 0
 
 
-def repeated(streams: list[np.ndarray], run: int = RUN_TOKENS, pages: int = PAGES) -> list[np.ndarray]:
-    """For each page's token numbers, which tokens stand in a run of ``run`` tokens that ``pages`` pages or more share."""
+def repeated(streams: list[np.ndarray], *least: int, run: int = RUN_TOKENS) -> list[list[np.ndarray]]:
+    """For each number of pages in ``least``, and for each page's token numbers: which tokens stand in a run of ``run`` tokens
+    that so many pages share."""
     order, group, spread = shared_runs(streams, run)
     sizes = [len(s) for s in streams]
-    hits = order[spread[group] >= pages] if len(order) else order
-    return np.split(covered(hits, sum(sizes), run), np.cumsum(sizes)[:-1])
+    return [np.split(covered(order[spread[group] >= n] if len(order) else order, sum(sizes), run), np.cumsum(sizes)[:-1]) for n in least]
+
+
+def among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which values are in ``listed``, which ascends."""
+    if not len(listed):
+        return np.zeros(len(values), bool)
+    return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
 
 
 def thresholds(n: int) -> tuple[int, int]:
@@ -327,7 +334,7 @@ def extract(pages: list[str | None]) -> list[tuple[str, int, int]]:
 def _extracted(pages: list[list[tuple[str, str]]]) -> list[tuple[str, int, int]]:
     own = Tokens()
     streams = [own.stream(p) for p in pages]
-    marks = [repeated(streams, pages=least) for least in thresholds(len(pages))]
+    marks = repeated(streams, *thresholds(len(pages)))
     return [(choose(p, seen, widely), len(seen), int(seen.sum())) for p, seen, widely in zip(pages, *marks, strict=True)]
 
 
@@ -425,7 +432,7 @@ def _large(rows: DataFrame, big: DataFrame, few: bool) -> DataFrame:
                 tokens = own.stream(page)
                 starts = np.arange(max(0, len(tokens) - RUN_TOKENS + 1))
                 hashes = own.run_hashes(tokens, starts, RUN_TOKENS)
-                seen, widely = (covered(starts[np.isin(hashes, x)], len(tokens)) for x in (known, wide))
+                seen, widely = (covered(starts[among(hashes, x)], len(tokens)) for x in (known, wide))
                 rows_.append(i)
                 found.append((choose(page, seen, widely), len(tokens), int(seen.sum())))
             if found:
