@@ -7,21 +7,20 @@ linked. (Two that share a variant are within the radius of each other by the tri
 again.)
 
 All variants of 64 bits and radius 4 are 2,081 a fingerprint, too many bytes to move one by one. The shuffle therefore
-keys on a variant's upper bits: 137 rows a fingerprint, each with the flips it may still make below. A task then
+keys on a variant's upper bits: 37 rows a fingerprint for 8 bits, each with the flips it may still make below. A task then
 emits the lower halves of all variants of its keys in sorted runs of bounded length and finds those that meet. Keys
-that too many fingerprints share are first dealt out by further bits. Where many meet, a variant links its members to
+that too many fingerprints share are first dealt out by further bits, as many times as it takes. Where many meet, a variant links its members to
 the least of them, never all with all; a run gives a spanning forest of what it found, so the number of links stays in
 proportion to the fingerprints.
 
 One fingerprint of word shingles is within 4 bits for few pairs of a Jaccard similarity of 0.8. ``similar_documents``
-therefore gives each document several independent fingerprints of its set of words, which an edit changes less, lets each
+therefore gives each document several independent fingerprints of its pairs of words, which an edit changes less, lets each
 make candidates by ball hashing, and verifies the candidate groups exactly on sets of five-word shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, own_prefix, part_by_ids, ship
+from .common import materialise, maybe_broadcast, own_prefix, part_by_ids, ship
 from .components import connected_components
 from .verify import SIMILAR, verified_links
 
@@ -39,13 +38,13 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 #: Bits of a variant that make the key of the shuffle, and by which hot keys are dealt out further.
-KEY_BITS = 16
+KEY_BITS = 8
 #: Rows of a key that one task takes as they are; a key with more is dealt out by its next bits.
 KEY_ROWS = 65_536
 #: Variants in a sorted run: what a task holds at once.
 RUN = 2_000_000
-#: Fingerprints of a document's words, and words of a shingle, where documents are to be similar.
-CODES = 4
+#: Fingerprints of a document's pairs of words, and words of a shingle, where documents are to be similar.
+CODES = 8
 SIMILAR_SHINGLE = 5
 
 ship(__name__)
@@ -72,7 +71,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def _bit_sums(digests: list[bytes]) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8), axis=1)
+    return _bit_sums_of(np.frombuffer(b"".join(digests), ">u8"))
+
+
+def _bit_sums_of(hashes: np.ndarray) -> np.ndarray:
+    """How many of some 64-bit numbers have each bit, the highest first."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     # sums of up to 255 rows fit a byte, which keeps the long axis in narrow registers
     full = len(bits) // 255 * 255
     out = bits[full:].sum(axis=0, dtype=np.int64)
@@ -100,22 +104,22 @@ def _flips(bits: int, most: int) -> list[tuple[int, int]]:
 
 
 def _keyed(fps: DataFrame, radius: int) -> DataFrame:
-    """(key, left, fp): the upper bits of fp's variants, and the flips that a variant may still have below."""
+    """(code, key, left, fp): the upper bits of fp's variants, and the flips that a variant may still have below."""
     half = radius // 2
-    codes = F.array(*[F.lit(mask * 8 + half - k) for mask, k in _flips(KEY_BITS, half)])
-    rows = fps.select("fp", F.explode(codes).alias("code"))
-    key = F.shiftrightunsigned("fp", 64 - KEY_BITS).bitwiseXOR(F.shiftright("code", 3).cast("long"))
-    return rows.select(key.alias("key"), F.col("code").bitwiseAND(F.lit(7)).cast("int").alias("left"), "fp")
+    flips = F.array(*[F.lit(mask * 8 + half - k) for mask, k in _flips(KEY_BITS, half)])
+    rows = fps.select("code", "fp", F.explode(flips).alias("flip"))
+    key = F.shiftrightunsigned("fp", 64 - KEY_BITS).bitwiseXOR(F.shiftright("flip", 3).cast("long"))
+    return rows.select("code", key.alias("key"), F.col("flip").bitwiseAND(F.lit(7)).cast("int").alias("left"), "fp")
 
 
 def _deeper(rows: DataFrame, used: int, radius: int) -> DataFrame:
     """The same for keys longer by KEY_BITS."""
     half = radius // 2
-    codes = F.array(*[F.lit(mask * 8 + k) for mask, k in _flips(KEY_BITS, half)])
-    out = rows.select("*", F.explode(codes).alias("code")).where("(code & 7) <= left")
+    flips = F.array(*[F.lit(mask * 8 + k) for mask, k in _flips(KEY_BITS, half)])
+    out = rows.select("*", F.explode(flips).alias("flip")).where("(flip & 7) <= left")
     below = F.shiftrightunsigned("fp", 64 - used - KEY_BITS).bitwiseAND(F.lit((1 << KEY_BITS) - 1).cast("long"))
-    key = F.shiftleft("key", KEY_BITS).bitwiseOR(below.bitwiseXOR(F.shiftright("code", 3).cast("long")))
-    return out.select(key.alias("key"), (F.col("left") - F.col("code").bitwiseAND(F.lit(7))).cast("int").alias("left"), "fp")
+    key = F.shiftleft("key", KEY_BITS).bitwiseOR(below.bitwiseXOR(F.shiftright("flip", 3).cast("long")))
+    return out.select("code", key.alias("key"), (F.col("left") - F.col("flip").bitwiseAND(F.lit(7))).cast("int").alias("left"), "fp")
 
 
 def _masks(bits: int, k: int) -> np.ndarray:
@@ -181,63 +185,65 @@ def _met(key: np.ndarray, left: np.ndarray, fp: np.ndarray, bits: int, radius: i
 
 
 def _meet(rows: DataFrame, bits: int, radius: int, most: int) -> DataFrame:
-    """Links (u, v) among keyed rows; rows of a key stand together, as many whole keys at a time as make a run."""
-    schema = "u long, v long"
+    """Links (code, u, v) among keyed rows; rows of a key stand together, as many whole keys of one code at a time as make
+    a run."""
+    weight = np.array([sum(len(_masks(bits, k)) for k in range(j + 1)) for j in range(radius // 2 + 1)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = np.array([sum(len(_masks(bits, k)) for k in range(j + 1)) for j in range(radius // 2 + 1)], np.int64)
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            key, left, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-            # runs of whole keys
-            ends = np.flatnonzero(np.r_[key[1:] != key[:-1], True]) + 1
-            cost, i = np.cumsum(weight[left]), 0
+        def ends_of(code: np.ndarray, key: np.ndarray) -> np.ndarray:
+            """Where groups of one key end."""
+            return np.flatnonzero(np.r_[(key[1:] != key[:-1]) | (code[1:] != code[:-1]), True]) + 1
+
+        def flush(code: np.ndarray, key: np.ndarray, left: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            ends, cost, i = ends_of(code, key), np.cumsum(weight[left]), 0
             while i < len(key):
                 limit = (cost[i - 1] if i else 0) + most
-                fit = ends[(ends > i)]
+                fit = ends[(ends > i) & (ends <= np.searchsorted(code, code[i], "right"))]
                 j = fit[max(0, np.searchsorted(cost[fit - 1], limit, "right") - 1)]
                 a, b = _met(key[i:j], left[i:j], fp[i:j], bits, radius, most)
-                i = j
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), code[i], np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["code", "u", "v"])
+                i = j
 
         for b in batches:
-            key = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            left, fp = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-            held.append((key, left, fp))
+            code, key, left, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            held.append((code, key.view(np.uint64), left, fp.view(np.uint64)))
             size += int(weight[left].sum())
             if size >= most:
                 # the last key may go on in the next batch
-                key, left, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-                cut = int(np.searchsorted(key.view(np.int64), key.view(np.int64)[-1], "left"))
+                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                ends = ends_of(whole[0], whole[1])
+                cut = int(ends[-2]) if len(ends) > 1 else 0
                 if cut:
-                    yield from flush([(key[:cut], left[:cut], fp[:cut])])
-                held = [(key[cut:], left[cut:], fp[cut:])]
-                size = int(weight[left[cut:]].sum()) if cut else 0
+                    yield from flush(*(x[:cut] for x in whole))
+                held = [tuple(x[cut:] for x in whole)]
+                size = int(weight[held[0][2]].sum()) if cut else 0
         if held and sum(len(x[0]) for x in held):
-            yield from flush(held)
+            yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    dealt = rows.select("key", "left", "fp").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, schema)
+    dealt = rows.select("code", "key", "left", "fp").repartition("code", "key").sortWithinPartitions("code", "key")
+    return dealt.mapInArrow(run, "code int, u long, v long")
 
 
 def ball_links(fps: DataFrame, radius: int = RADIUS, key_rows: int = KEY_ROWS, run: int = RUN) -> DataFrame:
-    """Links (u, v) of distinct fingerprints ``fps`` (fp): those linked here, directly or over others, are just
-    those that chains of pairs within ``radius`` bits connect."""
+    """Links (code, u, v) of distinct fingerprints ``fps`` (code, fp), those of each code apart: those linked here, directly
+    or over others, are just those that chains of pairs within ``radius`` bits connect."""
     if radius % 2:
         raise ValueError("the radius must be even")
     rows, used, out = _keyed(fps, radius), KEY_BITS, None
     while True:
-        hot = rows.groupBy("key").count().where(F.col("count") > key_rows).select("key") if used < 48 else None
-        if hot is None or hot.isEmpty():
+        hot = materialise(rows.groupBy("code", "key").count().where(F.col("count") > key_rows).select("code", "key")) if used < 48 else None
+        n = hot.count() if hot is not None else 0
+        if not n:
             found = _meet(rows, 64 - used, radius, run)
             return found if out is None else out.union(found)
-        hot = materialise(hot)
-        found = _meet(rows.join(hot, "key", "left_anti"), 64 - used, radius, run)
+        hot = maybe_broadcast(hot, n)
+        found = _meet(rows.join(hot, ["code", "key"], "left_anti"), 64 - used, radius, run)
         out = found if out is None else out.union(found)
-        rows = _deeper(rows.join(hot, "key", "left_semi"), used, radius)
+        rows = _deeper(rows.join(hot, ["code", "key"], "left_semi"), used, radius)
         used += KEY_BITS
 
 
@@ -256,7 +262,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     fps = materialise(with_fingerprints(docs, doc_id, text, shingle))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = _links(distinct.select("fp"), radius)
+    links = _links(distinct.select(F.lit(0).alias("code"), "fp"), radius)
     roots = connected_components(links)
     named = materialise(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
     # components are looked up for distinct fingerprints that have links; documents meet them by fingerprint alone.
@@ -279,13 +285,21 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     return keep_least(docs, near_duplicates(docs, doc_id, text, radius, shingle), doc_id)
 
 
-def word_codes(w: set[bytes], codes: int = CODES) -> list[int]:
-    """``codes`` independent 64-bit SimHashes of a set of words; 0 for none."""
+def pair_codes(w: list[bytes], codes: int = CODES) -> list[int]:
+    """``codes`` independent 64-bit SimHashes of the set of pairs of consecutive words ``w``; 0 for none."""
     if not w:
         return [0] * codes
-    parts = [b"".join([xxhash.xxh3_128_digest(x, SEED + k) for x in w]) for k in range(-(-codes // 2))]
-    bits = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64) for p in parts])
-    return np.frombuffer(np.packbits(bits * 2 > len(w)).tobytes(), ">u8").tolist()[:codes]
+    pairs = {b" ".join(p) for p in zip(w, w[1:], strict=False)} or {w[0]}
+    h = np.frombuffer(b"".join([xxhash.xxh3_64_digest(p, SEED) for p in pairs]), ">u8").astype(np.uint64)
+    out = []
+    for k in range(codes):
+        x = h ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        for by, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(by))) * np.uint64(times)
+        x ^= x >> np.uint64(31)
+        total = sum(_bit_sums_of(x[i : i + 16_384]) for i in range(0, len(x), 16_384))
+        out.append(int.from_bytes(np.packbits(total * 2 > len(x)).tobytes(), "big"))
+    return out
 
 
 def shingle_set(text: str | None, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
@@ -309,25 +323,23 @@ def _with_codes(docs: DataFrame, doc_id: str, text: str, codes: int) -> DataFram
             for t in b.column(1):
                 w = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
                 keys.append(xxhash.xxh3_64_intdigest(b" ".join(w), SEED))
-                flat += word_codes(set(w), codes)
+                flat += pair_codes(w, codes)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, codes, dtype=np.int32)), pa.array(np.array(flat, np.uint64).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(keys, np.uint64).view(np.int64)), lists], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def _candidates(nodes: DataFrame, codes: int, radius: int) -> DataFrame:
-    """(t, root) of the nodes (t, codes) that some code puts in a group with others."""
-    edges = []
-    for i in range(codes):
-        own = nodes.select("t", F.get("codes", F.lit(i)).alias("fp"))
-        values = own.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-        links = _links(values.select("fp"), radius)
-        met = links.select(F.explode(F.array("u", "v")).alias("fp")).union(values.where("n > 1").select("fp")).distinct()
-        name = lambda c, i=i: F.xxhash64(F.lit(i), c)
-        edges.append(own.join(materialise(met), "fp").select(F.col("t").alias("u"), name("fp").alias("v")))
-        edges.append(links.select(name("u").alias("u"), name("v").alias("v")))
-    roots = connected_components(reduce(DataFrame.union, edges))
+def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
+    """(t, root, fp) of the nodes (t, codes) that some code puts in a group with others; fp: the first code."""
+    own = nodes.select("t", F.posexplode("codes").alias("code", "fp"))
+    values = materialise(own.groupBy("code", "fp").agg(F.count(F.lit(1)).alias("n")))
+    links = _links(values.select("code", "fp"), radius)
+    name = lambda c: F.xxhash64("code", c)
+    met = materialise(links.select(name("u").alias("v")).union(links.select(name("v").alias("v"))).union(values.where("n > 1").select(name("fp").alias("v"))).distinct())
+    # each node is linked to the names of its fingerprints, and those among each other
+    edges = own.select(F.col("t").alias("u"), name("fp").alias("v")).join(met, "v", "left_semi").select("u", "v")
+    roots = connected_components(edges.union(links.select(name("u").alias("u"), name("v").alias("v"))))
     return roots.join(nodes.select(F.col("t").alias("node"), F.get("codes", F.lit(0)).alias("fp")), "node").withColumnRenamed("node", "t")
 
 
@@ -353,7 +365,7 @@ def _sets(docs: DataFrame, found: DataFrame, wanted: DataFrame, doc_id: str, tex
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: tuple[int, int] = SIMILAR, shingle: int = SIMILAR_SHINGLE, codes: int = CODES, radius: int = RADIUS) -> DataFrame:
     """(doc_id, component_id): one row a row of ``docs``.
 
-    Linked are documents that some of ``codes`` fingerprints of their words put in one group and whose sets of shingles
+    Linked are documents that some of ``codes`` fingerprints of their pairs of words put in one group and whose sets of shingles
     have a Jaccard similarity of ``similar`` or more, which is checked exactly: no link is below it. A pair of
     similarity 0.8 that no third document connects is missed if none of its codes is within ``radius`` bits (recall is
     measured in the tests). component_id: the smallest doc_id reachable, itself included (ids that are null don't
@@ -362,7 +374,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     found = materialise(_with_codes(docs, doc_id, text, codes))
     nodes = materialise(found.groupBy("t").agg(F.first("codes").alias("codes"), F.min("doc_id").alias("least")))
-    wanted = materialise(_candidates(nodes, codes, radius))
+    wanted = materialise(_candidates(nodes, radius))
     roots = connected_components(verified_links(_sets(docs, found, wanted, doc_id, text, shingle), similar))
     named = materialise(nodes.select("t", "least").join(roots.withColumnRenamed("node", "t"), "t", "left"))
     least = materialise(named.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id")))

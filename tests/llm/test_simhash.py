@@ -59,12 +59,14 @@ def test_links_are_those_of_brute_force(spark, key_rows, run):
     for _ in range(150):  # one dense clump
         fps.add(hub ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 3))))
     fps = sorted(fps)
-    pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
-    df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp long")
-    links = simhash.ball_links(df, key_rows=key_rows, run=run)
-    at = {int(np.uint64(x).astype(np.int64)): i for i, x in enumerate(fps)}
-    got = [(at[r.u], at[r.v]) for r in links.collect()]
-    assert classes(len(fps), got) == classes(len(fps), pairs)
+    signed = lambda x: int(np.uint64(x).astype(np.int64))
+    codes = {0: fps, 3: fps[::2]}
+    df = spark.createDataFrame([(c, signed(x)) for c, own in codes.items() for x in own], "code int, fp long")
+    links = simhash.ball_links(df, key_rows=key_rows, run=run).collect()
+    for c, own in codes.items():
+        pairs = [(i, j) for i in range(len(own)) for j in range(i) if (own[i] ^ own[j]).bit_count() <= 4]
+        at = {signed(x): i for i, x in enumerate(own)}
+        assert classes(len(own), [(at[r.u], at[r.v]) for r in links if r.code == c]) == classes(len(own), pairs)
 
 
 def test_near_duplicates(spark):
