@@ -11,13 +11,12 @@ one bucket. At a cosine of 0.98 a bit agrees with probability 0.936, and a pair
 probability 0.001; the tests measure recall against brute force. Vectors alone in a bucket drop out before any vector
 moves. Large buckets are dealt out in tiles of block pairs, so none is in one task as a whole. A pair counts in
 the first band it shares only, so links are counted where they are found: no pair is ever a row, only counts and spanning
-forests are.
+forests are. Equal vectors are compared as one, with the number of its copies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +36,16 @@ TILE = 1024
 ship(__name__)
 
 
-@lru_cache(maxsize=8)
+_ROTATIONS: dict[tuple[int, int], np.ndarray] = {}
+
+
 def rotation(dim: int, bits: int) -> np.ndarray:
     """The first ``dim`` columns of a random rotation of ``bits`` dimensions (or of ``dim``, if that is more)."""
-    rows = max(bits, -(-dim // 64) * 64)
-    q, r = np.linalg.qr(np.random.default_rng(7).standard_normal((rows, dim)))
-    return (q * np.sign(np.diag(r))).astype(np.float32)
+    if (dim, bits) not in _ROTATIONS:
+        rows = max(bits, -(-dim // 64) * 64)
+        q, r = np.linalg.qr(np.random.default_rng(7).standard_normal((rows, dim)))
+        _ROTATIONS[dim, bits] = (q * np.sign(np.diag(r))).astype(np.float32)
+    return _ROTATIONS[dim, bits]
 
 
 def encode(x: np.ndarray, bits: int = CODE_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +69,7 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
-    """(vec_id, label, dim, vec) of the vectors that can link: one a vec_id, with a label, no null or non-finite
+    """(vec_id, kind, dim, vec) of the vectors that can link: one a vec_id, with a label, no null or non-finite
     component and not all zero. Of rows that share an id the least (label, vector) counts."""
     ok = F.col("vec").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     fine = F.forall("vec", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("vec", lambda x: x != 0)
@@ -75,8 +78,19 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataF
     return one.select("vec_id", F.xxhash64("s.label", F.size("s.vec")).alias("kind"), F.size("s.vec").alias("dim"), "s.vec")
 
 
+def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``usable`` vectors, one of each group that is equal in kind and components, as (vec_id, kind, dim, vec, copies), and
+    of each vec_id that one's: (vec_id, one, copies)."""
+    same = materialise(vectors.withColumn("h1", F.xxhash64("kind", "vec")).withColumn("h2", F.xxhash64("vec", F.lit(1), "kind")))
+    one = same.groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "kind", "dim", "vec")).alias("s"), F.count(F.lit(1)).alias("copies"))
+    # as a table, so that the join is free to split a vector that a third of all rows repeat
+    one = materialise(one.select("h1", "h2", "s.vec_id", "s.kind", "s.dim", "s.vec", "copies"))
+    names = same.select("vec_id", "h1", "h2").join(one.select("h1", "h2", F.col("vec_id").alias("one"), "copies"), ["h1", "h2"]).select("vec_id", "one", "copies")
+    return one.drop("h1", "h2"), names
+
+
 def with_codes(vectors: DataFrame, bits: int = CODE_BITS) -> DataFrame:
-    """``vectors`` (vec_id, kind, dim, vec) with ``code`` (packed bits) and ``factor``."""
+    """``vectors`` (vec_id, kind, dim, vec, copies) with ``code`` (packed bits) and ``factor``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,7 +101,7 @@ def with_codes(vectors: DataFrame, bits: int = CODE_BITS) -> DataFrame:
                 packed = pa.array([c.tobytes() for c in codes], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, packed, pa.array(factors.astype(np.float64))], names=[*part.schema.names, "code", "factor"])
 
-    return vectors.mapInArrow(run, "vec_id long, kind long, dim int, vec array<double>, code binary, factor double")
+    return vectors.mapInArrow(run, "vec_id long, kind long, dim int, vec array<double>, copies long, code binary, factor double")
 
 
 def compare(kind: np.ndarray, block: np.ndarray, x: np.ndarray, codes: np.ndarray, factors: np.ndarray, band: int, across: bool, threshold: float, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +127,8 @@ def compare(kind: np.ndarray, block: np.ndarray, x: np.ndarray, codes: np.ndarra
 
 
 def find_links(vectors: DataFrame, threshold: float = THRESHOLD, bits: int = CODE_BITS, tile: int = TILE) -> DataFrame:
-    """What tiles find: rows (u, v, n) with either a link (u, v) of a tile's spanning forest, or v null and n links of u."""
+    """What tiles find: rows (u, v, n) with either a link (u, v) of a tile's spanning forest, or v null and n links of u.
+    ``vectors`` are distinct; a link to one counts for each of its copies."""
     coded = materialise(with_codes(vectors, bits))
     width = BAND_BITS // 4
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.substring("hex", 1 + width * i, width).alias("key")) for i in range(CODE_BITS // BAND_BITS)])
@@ -121,7 +136,7 @@ def find_links(vectors: DataFrame, threshold: float = THRESHOLD, bits: int = COD
     crowded = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     placed = keyed.join(crowded, "bucket").withColumn("blocks", F.ceil(F.col("n") / tile).cast("int")).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")).cast("int"))
     tiled = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("t1", F.least("block", "with")).withColumn("t2", F.greatest("block", "with"))
-    rows = tiled.select("vec_id", "bucket", "band", "block", "t1", "t2").join(coded, "vec_id").select("bucket", "t1", "t2", "band", "block", "vec_id", "kind", "vec", "code", "factor")
+    rows = tiled.select("vec_id", "bucket", "band", "block", "t1", "t2").join(coded, "vec_id").select("bucket", "t1", "t2", "band", "block", "vec_id", "kind", "vec", "copies", "code", "factor")
 
     def one(t: pa.Table) -> pa.RecordBatch | None:
         if t.num_rows < 2:
@@ -134,7 +149,8 @@ def find_links(vectors: DataFrame, threshold: float = THRESHOLD, bits: int = COD
         i, j = compare(t.column("kind").to_numpy(), t.column("block").to_numpy(), x, codes, t.column("factor").to_numpy(), t.column("band")[0].as_py(), across, threshold, bits)
         if not len(i):
             return None
-        n = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+        copies = t.column("copies").to_numpy()
+        n = (np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))).astype(np.int64)
         label = forest(len(ids), i, j)
         tied, has = np.flatnonzero(label != np.arange(len(ids))), np.flatnonzero(n)
         u = np.r_[ids[tied], ids[has]]
@@ -171,10 +187,13 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     lengths. Rows that repeat a vec_id are one vector. A null vec_id gives one row: no link, no component, kept.
     """
     ids = vectors.select(F.col(vec_id).cast("long").alias("vec_id")).distinct()
-    found = materialise(find_links(usable(vectors, vec_id, embedding, label), threshold))
+    distinct, names = distinct_vectors(usable(vectors, vec_id, embedding, label))
+    found = materialise(find_links(distinct, threshold))
     counts = found.where("v is null").groupBy(F.col("u").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     roots = connected_components(found.where("v is not null").select("u", "v"))
     least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
     named = roots.join(least, "root").select(F.col("node").alias("vec_id"), "component_id")
-    out = ids.join(counts, "vec_id", "left").join(named, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    of_one = distinct.select("vec_id").join(counts, "vec_id", "left").join(named, "vec_id", "left").select(F.col("vec_id").alias("one"), "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
+    linked = names.join(materialise(of_one), "one").select("vec_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = ids.join(linked, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
