@@ -3,12 +3,13 @@
 Tokens are lower-cased runs of letters and digits. A mask takes the tokens at its positions and ignores those between,
 so a hit survives substitutions there. The two masks below find, with certainty, every window of 13 tokens in which at
 most 2 differ (a search over all 78 pairs of positions; the tests repeat it). Hashes of all positions of the training texts
-meet those of the benchmark in a hash join, and around each hit the item is laid over the text on the hit's diagonal: an
-item is in a text if some window of 13 of its tokens agrees with the text in 11 or more places (similarity 0.8).
+meet those of the benchmark in a hash join, and around each hit the windows that hold its seed are compared token by
+token: an item is in a text if some window of 13 of its tokens agrees with the text in 11 or more places (similarity 0.8).
 
-The text's token hashes stay in the row while its positions are generated and joined, all in one stage of generated
-code: no text and no position is shuffled, only hits, with the tokens that the item would cover. The benchmark's hashes
-are broadcast in slices of a bounded number of rows; each further slice is a further pass over the texts.
+The text's token hashes stay in the row while its positions are generated, joined and compared: no text and no position is
+shuffled, only the best window of each (document, item). A benchmark row holds one seed and the 18 tokens around it,
+however long its item is; rows are broadcast in slices of a bounded number, dealt by seed, and each further slice is a
+further pass over the texts.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 WINDOW = 13
 MIN_MATCHES = 11
 SPLIT = r"[^\p{L}\p{N}]+"
-#: Rows (hash, item, position, the item's tokens) that a broadcast may hold.
+#: Rows (hash, item, the tokens around) of about 200 bytes that a broadcast may hold.
 SEED_ROWS = 100_000
+#: Places around a seed's first token that windows which hold the seed can reach.
+BEFORE, AFTER = WINDOW - 1 - min(m[-1] for m in MASKS), WINDOW - 1
 
 
 def tokens(text: Column) -> Column:
@@ -49,12 +52,17 @@ def seeds(rows: DataFrame, toks: str) -> DataFrame:
     return at.select("*", F.explode(each).alias("seed"))
 
 
-def _best_window(here: str, item: str, shift: str) -> Column:
-    """Most agreeing places in a window of ``item``, its place ``i`` being laid on place ``i`` - ``shift`` of ``here``; places
-    outside do not agree."""
-    at = lambda i: i - F.col(shift)
-    same = F.transform(F.col(item), lambda t, i: F.when((at(i) >= 0) & F.get(F.col(here), F.greatest(at(i), F.lit(0))).eqNullSafe(t), 1).otherwise(0))
-    starts = F.sequence(F.lit(1), F.size(item) - (WINDOW - 1))
+def _around(toks: str, at: Column) -> Column:
+    """The tokens from BEFORE places before ``at`` to AFTER places behind it; null where there are none."""
+    return F.array(*[F.when(at + i >= 0, F.get(F.col(toks), F.greatest(at + i, F.lit(0)))) for i in range(-BEFORE, AFTER + 1)])
+
+
+def _best_window(here: str, item: str) -> Column:
+    """Most agreeing places in a window of ``item`` around the seed, the surroundings laid on those of ``here``; null if no
+    window fits in the item."""
+    same = F.zip_with(item, here, lambda a, b: F.when(a.isNotNull(), F.coalesce((a == b).cast("int"), F.lit(0))))
+    # a window that reaches beyond the item has a null and so no sum
+    starts = F.sequence(F.lit(1), F.lit(BEFORE + 1))
     sums = F.transform(starts, lambda s: F.aggregate(F.slice(same, s, WINDOW), F.lit(0), lambda a, x: a + x))
     return F.array_max(sums)
 
@@ -67,21 +75,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     or item; a null id is an id. Only the named columns are read.
     """
     items = materialise(benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("item")).where(F.size("item") >= WINDOW).distinct())
-    n = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)).alias("n")).first()["n"] * len(MASKS)
-    slices = max(1, -(-n // seed_rows))
+    wanted = materialise(seeds(items, "item").where("seed is not null").select("seed", "item_id", _around("item", F.col("pos")).alias("there")).distinct())
+    slices = max(1, -(-wanted.count() // seed_rows))
     texts = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("doc"))
     found = []
     for s in range(slices):
-        part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(slices)) == s)
-        wanted = seeds(part, "item").where("seed is not null").select("seed", F.col("pos").alias("item_pos"), "item_id", "item")
-        hits = seeds(texts, "doc").join(F.broadcast(wanted), "seed").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-        # a hit takes along only the part of the text that the item would cover; shift: the item's places before the text
-        cover = F.slice("doc", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.size("item"))
-        cut = hits.select("doc_id", "item_id", F.greatest(-F.col("diagonal"), F.lit(0)).alias("shift"), cover.alias("here"), "item")
-        found.append(cut)
-    # hits of one alignment come together, and only then is it looked at
-    once = reduce(DataFrame.union, found).groupBy("doc_id", "item_id", "shift", "here").agg(F.first("item").alias("item"))
-    looked = once.select("doc_id", "item_id", _best_window("here", "item", "shift").cast("long").alias("matched"))
+        part = wanted if slices == 1 else wanted.where(F.pmod("seed", F.lit(slices)) == s)
+        hits = seeds(texts, "doc").join(F.broadcast(part), "seed")
+        found.append(hits.select("doc_id", "item_id", _around("doc", F.col("pos")).alias("here"), "there"))
+    # hits with equal surroundings come together, and only then are they looked at: the count keeps the comparison, which is
+    # not generated code, out of the join, where it would have every position of a text wait with the text's tokens
+    once = reduce(DataFrame.union, found).groupBy("doc_id", "item_id", "here", "there").agg(F.count(F.lit(1)).alias("n"))
+    looked = once.select("doc_id", "item_id", F.when(F.col("n") > 0, _best_window("here", "there")).cast("long").alias("matched"))
     return looked.where(F.col("matched") >= MIN_MATCHES).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
 
 
