@@ -37,7 +37,14 @@ def work_dir(spark: SparkSession) -> str:
         base = "file://" + os.path.join(os.environ.get("TMPDIR", "/tmp"), "checkpoints")
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/siftlode-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/siftlode-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete all tables of intermediate results that this application has written; results not yet computed need them."""
+    folder = work_dir(spark).rpartition("/")[0]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, path: str | None = None) -> DataFrame:

@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, hex_key, materialise, maybe_broadcast, words
+from .common import WORD, hex_key, materialise, maybe_broadcast, own_prefix, words
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -22,6 +22,11 @@ MAX_EPOCHS = 3
 RANGE_DIGITS = 3
 
 
+def mix_key(seed: int) -> Column:
+    """The hash-random key of a record. It depends on the text too, so that records of one id, or of none, are spread."""
+    return hex_key(F.col("doc_id"), F.lit(f"mix{seed}"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """``sizes`` (source, source_size) with ``target``.
 
@@ -51,11 +56,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX
 
     ``docs`` has doc_id, source and text (any may be null; a null or empty text has size 0 and gives 0 words; a
     null source is a source). ``taken`` adds up to each source's target, rounded to a word: the document at the
-    cut gives its share only. Equal documents share the key's place in the order doc_id, size; which of two rows
-    equal in both comes first makes no difference to the result. An empty table gives an empty one.
+    cut gives its share only. Rows equal in doc_id and text have one key; which of them comes first makes no
+    difference to the result. An empty table gives an empty one.
     """
-    light = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
-    light = light.withColumn("__key", hex_key(F.col("doc_id"), F.lit(f"mix{seed}"))).withColumn("__range", F.shiftrightunsigned("__key", 60 - 4 * range_digits))
+    light = docs.select("doc_id", "source", words(F.col("text")).alias("size"), mix_key(seed).alias("__key")).withColumn("__range", F.shiftrightunsigned("__key", 60 - 4 * range_digits))
     # one pass makes the sums of ranges, and of them the sums of sources
     sums = light.groupBy("source", "__range").agg(F.sum("size").alias("__sum"))
     sizes = sums.groupBy("source").agg(F.sum("__sum").alias("source_size"))
@@ -84,34 +88,36 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epoch
 
     A document that the cut goes through stays if at least half of it is inside, so that no text is torn; a
     source then misses its target by half a document at most. Documents without words leave. Rows of one source that are
-    equal in doc_id and size share what is taken of the first of them. The columns are those of ``docs``.
+    equal in doc_id and text share what is taken of the first of them. The columns are those of ``docs``, whatever
+    their names.
 
     Texts are not shuffled: of each source, the ranges of keys before the cut are taken once more than those after it,
     and only the documents of the one range that the cut is in are put in order, by id and size.
     """
-    key = hex_key(F.col("doc_id"), F.lit(f"mix{seed}"))
-    placed = docs.withColumn("__key", key).withColumn("__range", F.shiftrightunsigned("__key", 60 - 4 * range_digits))
-    light = placed.select("doc_id", "source", words(F.col("text")).alias("size"), "__key", "__range")
-    sums = materialise(light.groupBy("source", "__range").agg(F.sum("size").alias("__sum")))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("__sum").alias("source_size")), weights, max_epochs)
+    p = own_prefix(docs)
+    key = mix_key(seed)
+    placed = docs.withColumn(f"{p}key", key).withColumn(f"{p}range", F.shiftrightunsigned(f"{p}key", 60 - 4 * range_digits))
+    light = placed.select("doc_id", "source", words(F.col("text")).alias("size"), f"{p}key", f"{p}range")
+    sums = materialise(light.groupBy("source", f"{p}range").agg(F.sum("size").alias(f"{p}sum")))
+    targets = source_targets(sums.groupBy("source").agg(F.sum(f"{p}sum").alias("source_size")), weights, max_epochs)
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
-    plan = targets.select(F.col("source").alias("__s"), epochs.alias("__epochs"), (budget - epochs * F.col("source_size")).alias("__rest"))
-    upto = Window.partitionBy("source").orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = sums.withColumn("__end", F.sum("__sum").over(upto)).join(plan, F.col("source").eqNullSafe(F.col("__s")))
+    plan = targets.select(F.col("source").alias(f"{p}s"), epochs.alias(f"{p}epochs"), (budget - epochs * F.col("source_size")).alias(f"{p}rest"))
+    upto = Window.partitionBy("source").orderBy(f"{p}range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = sums.withColumn(f"{p}end", F.sum(f"{p}sum").over(upto)).join(plan, F.col("source").eqNullSafe(F.col(f"{p}s")))
     # the first range that reaches beyond the rest, and the words before it
-    cut = ends.where("__end > __rest").groupBy(F.col("source").alias("__cs")).agg(F.min(F.struct("__range", (F.col("__end") - F.col("__sum")).alias("start"))).alias("c"))
-    plan = plan.join(cut, F.col("__s").eqNullSafe(F.col("__cs")), "left").select("__s", "__epochs", "__rest", F.coalesce("c.__range", F.lit(1 << 62)).alias("__cut"), F.coalesce("c.start", F.lit(0)).alias("__start"))
+    cut = ends.where(F.col(f"{p}end") > F.col(f"{p}rest")).groupBy(F.col("source").alias(f"{p}cs")).agg(F.min(F.struct(f"{p}range", (F.col(f"{p}end") - F.col(f"{p}sum")).alias("start"))).alias("c"))
+    plan = plan.join(cut, F.col(f"{p}s").eqNullSafe(F.col(f"{p}cs")), "left").select(f"{p}s", f"{p}epochs", f"{p}rest", F.coalesce(f"c.{p}range", F.lit(1 << 62)).alias(f"{p}cut"), F.coalesce("c.start", F.lit(0)).alias(f"{p}start"))
     plan = materialise(plan)
     sources = plan.count()
     small = maybe_broadcast(plan, sources)
-    within = Window.partitionBy("source", "__range").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = light.join(small, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__cut"))).withColumn("__before", F.col("__start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    half_in = F.col("__rest") - F.col("__before") >= F.col("size") / 2
-    edge = edge.groupBy(F.col("source").alias("__es"), F.col("doc_id").alias("__ed"), F.col("size").alias("__size")).agg(F.max(half_in.cast("int")).alias("__more"))
+    within = Window.partitionBy("source", f"{p}range").orderBy(f"{p}key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    edge = light.join(small, F.col("source").eqNullSafe(F.col(f"{p}s")) & (F.col(f"{p}range") == F.col(f"{p}cut"))).withColumn(f"{p}before", F.col(f"{p}start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    half_in = F.col(f"{p}rest") - F.col(f"{p}before") >= F.col("size") / 2
+    edge = edge.groupBy(F.col("source").alias(f"{p}es"), F.col("doc_id").alias(f"{p}ed"), F.col(f"{p}key").alias(f"{p}ek")).agg(F.max(half_in.cast("int")).alias(f"{p}more"))
     edge = materialise(edge)
-    here = placed.join(small, F.col("source").eqNullSafe(F.col("__s"))).withColumn("__edge", F.when(F.col("__range") == F.col("__cut"), words(F.col("text"))))
-    here = here.join(maybe_broadcast(edge, edge.count()), F.col("source").eqNullSafe(F.col("__es")) & F.col("doc_id").eqNullSafe(F.col("__ed")) & (F.col("__edge") == F.col("__size")), "left")
-    more = F.when(F.col("__range") < F.col("__cut"), F.lit(1)).otherwise(F.coalesce("__more", F.lit(0)))
-    times = F.when(F.rlike("text", F.lit(WORD)), (F.col("__epochs") + more).cast("int")).otherwise(F.lit(0))
-    return here.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    here = placed.join(small, F.col("source").eqNullSafe(F.col(f"{p}s")))
+    here = here.join(maybe_broadcast(edge, edge.count()), F.col("source").eqNullSafe(F.col(f"{p}es")) & F.col("doc_id").eqNullSafe(F.col(f"{p}ed")) & (F.col(f"{p}key") == F.col(f"{p}ek")), "left")
+    more = F.when(F.col(f"{p}range") < F.col(f"{p}cut"), F.lit(1)).otherwise(F.coalesce(f"{p}more", F.lit(0)))
+    times = F.when(F.rlike("text", F.lit(WORD)), (F.col(f"{p}epochs") + more).cast("int")).otherwise(F.lit(0))
+    return here.withColumn(f"{p}times", times).where(F.col(f"{p}times") > 0).withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1), F.col(f"{p}times")))).select(*docs.columns)

@@ -14,7 +14,8 @@ ORACLE: dict[str, str] = {}
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.listed_urls(spark))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    out = url_filter.filter_urls(pages, url_filter.listed_urls(pages))
     return out.select("page_id", "host", "path", "rule", "verdict", "canonical_url", "listed")
 
 
@@ -79,9 +80,7 @@ split AS (SELECT page_id, translate(raw, {_AZ}) AS host, regexp_extract(substr(r
 named AS (
   SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^(www|m|blog)\.', ''), ':[0-9]*$', '')
          || regexp_replace(regexp_replace(path, '(/index)?\.html?$', ''), '/+$', '') END AS canonical_url FROM split),
-listed AS (
-  SELECT h || '/' || l || '/' || n AS u FROM (SELECT unnest([{", ".join(f"'{h}'" for h in url_filter.LISTED_HOSTS)}]) AS h)
-  CROSS JOIN (SELECT unnest([{", ".join(f"'{x}'" for x in url_filter.LISTED_LANGS)}]) AS l) CROSS JOIN (SELECT unnest(range({url_filter.LISTED_PAGES})) AS n))
+listed AS (SELECT DISTINCT canonical_url AS u FROM named WHERE regexp_matches(canonical_url, '{url_filter.LISTED_SITES}'))
 SELECT page_id, host, path, {_rule_sql("rule")} AS rule,
        COALESCE({_rule_sql("verdict")}, CASE WHEN u IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, canonical_url, u IS NOT NULL AS listed
 FROM named LEFT JOIN listed ON canonical_url = u
@@ -90,7 +89,7 @@ FROM named LEFT JOIN listed ON canonical_url = u
 ORACLE["op4_mixing"] = r"""
 WITH light AS (
   SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         substr(md5(COALESCE(doc_id::VARCHAR, 'null') || ':mix0'), 1, 15) AS key
+         substr(md5(COALESCE(doc_id::VARCHAR, 'null') || ':mix0:' || md5(COALESCE(text, ''))), 1, 15) AS key
   FROM documents),
 sizes AS (SELECT source, SUM(size)::BIGINT AS source_size FROM light GROUP BY source),
 ranked AS (

@@ -17,16 +17,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hex_key
+from .common import hex_key, own_prefix
 
 #: Hash buckets of a shard in the prefix sum; a task numbers the rows of single buckets.
 SLOT_BUCKETS = 1024
+#: What is hashed for a null key, so that it is not the key "null".
+NO_KEY = "\0null"
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     """Index of the shard of ``key`` among shards 0, 1, ... of the given weights.
 
-    A null key is a key of its own. Shards of weight 0 get nothing. Ties go to the lower shard.
+    A null key is a key of its own, other than the text "null". Shards of weight 0 get nothing. Ties go to the lower shard.
     """
     if not weights or min(weights) < 0 or max(weights) <= 0:
         raise ValueError("weights must not be negative, and one must be positive")
@@ -34,7 +36,7 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     equal = len({w for _, w in live}) == 1
     best = None
     for i, w in live:
-        h = hex_key(key, F.lit(str(i)), digits=13)
+        h = hex_key(F.when(key.isNull(), F.lit(NO_KEY)).otherwise(key.cast("string")), F.lit(str(i)), digits=13)
         score = h.cast("double") if equal else F.log((h.cast("double") + 0.5) / float(2**52)) / F.lit(float(w))
         s = F.struct(score.alias("score"), F.lit(-i).alias("shard"))
         best = [s] if best is None else [*best, s]
@@ -47,27 +49,28 @@ def shard_records(
 ) -> DataFrame:
     """``rows`` with ``shard``, ``slot`` and, if ``grown_weights`` are given, ``grown_shard``.
 
-    Input columns of these names are replaced. Rows with equal keys (null is one) go to the same shard; their
+    Input columns of these names are replaced, all others stay, whatever their names. Rows with equal keys (null is one) go to the same shard; their
     slots follow ``order``, and rows equal in that too are interchangeable. An empty table gives an empty one.
     Texts and other payload columns are never shuffled unless they are columns of ``rows``: hand in what the
     result needs.
     """
-    out = rows.drop("shard", "slot", "grown_shard").withColumn("shard", rendezvous(F.col(key), weights))
+    p = own_prefix(rows)
+    h, bucket, n, offset, row = (f"{p}{x}" for x in ("h", "bucket", "n", "offset", "row"))
+    at, to, grown = (f"{p}{x}" for x in ("shard", "to", "grown"))
+    rest = [c for c in rows.columns if c not in ("shard", "slot", "grown_shard")]
+    out = rows.withColumn(at, rendezvous(F.col(key), weights))
     if grown_weights is not None:
-        out = out.withColumn("grown_shard", rendezvous(F.col(key), grown_weights))
+        out = out.withColumn(grown, rendezvous(F.col(key), grown_weights))
     # rows of one key that has very many copies are spread over buckets by what else tells them apart
-    out = out.withColumn("__h", F.xxhash64(F.col(key), *[F.col(c) for c in order])).withColumn("__bucket", F.pmod(F.col("__h"), F.lit(buckets)).cast("int"))
-    counts = out.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumn(h, F.xxhash64(F.col(key), *[F.col(c) for c in order])).withColumn(bucket, F.pmod(F.col(h), F.lit(buckets)).cast("int"))
+    counts = out.groupBy(at, bucket).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(at).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     # at most len(weights) * buckets rows, however large the input
-    offsets = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    within = Window.partitionBy("shard", "__bucket").orderBy("__h", key, *order)
-    return (
-        out.withColumn("__row", F.row_number().over(within))
-        .join(F.broadcast(offsets), ["shard", "__bucket"])
-        .withColumn("slot", (F.col("__offset") + F.col("__row") - 1).cast("long"))
-        .drop("__h", "__bucket", "__row", "__offset")
-    )
+    offsets = counts.select(F.col(at).alias(to), F.col(bucket).alias(f"{p}in"), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(offset))
+    within = Window.partitionBy(at, bucket).orderBy(h, key, *order)
+    joined = out.withColumn(row, F.row_number().over(within)).join(F.broadcast(offsets), (F.col(at) == F.col(to)) & (F.col(bucket) == F.col(f"{p}in")))
+    slot = (F.col(offset) + F.col(row) - 1).cast("long").alias("slot")
+    return joined.select(*rest, F.col(at).alias("shard"), *[F.col(grown).alias("grown_shard")] * (grown_weights is not None), slot)
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:

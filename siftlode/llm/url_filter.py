@@ -13,17 +13,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, maybe_broadcast
+from .common import BROADCAST_ROWS, materialise, maybe_broadcast, own_prefix
 
 #: (verdict, host, path): a rule fits its host and all hosts below it, where the path starts with the rule's.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Hosts whose pages /LANG/0 to /LANG/999 are on the list of the registered query.
-LISTED_HOSTS = ("casino-win.example.com", "cheap-pills.example.com", "spam-farm.example.org")
-LISTED_LANGS = ("de", "en", "es", "fr")
-LISTED_PAGES = 1000
+#: Sites whose pages are the list of the registered query.
+LISTED_SITES = r"^(ads-track|casino-win|cheap-pills|free-bets|spam-farm)\."
 #: Names that only say on which front door of a site a page was seen.
 FRONT_DOORS = r"^(www|m|blog)\."
 BITS_PER_URL = 16
@@ -67,47 +65,57 @@ def _bits(hash_: str) -> list[Column]:
 
 def bloom_blocks(listed: DataFrame, url: str, n_blocks: int) -> DataFrame:
     """The filter as a table: block, w0, w1, w2, w3; blocks without URLs are absent."""
-    h = listed.select(F.xxhash64(F.col(url)).alias("__h")).withColumn("block", F.pmod(F.shiftrightunsigned("__h", 24), F.lit(n_blocks)))
-    return h.groupBy("block").agg(*[F.bit_or(bit).alias(f"w{i}") for i, bit in enumerate(_bits("__h"))])
+    h = listed.select(F.xxhash64(F.col(url)).alias("h")).withColumn("block", F.pmod(F.shiftrightunsigned("h", 24), F.lit(n_blocks)))
+    return h.groupBy("block").agg(*[F.bit_or(bit).alias(f"w{i}") for i, bit in enumerate(_bits("h"))])
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, listed_verdict: str = "block", else_verdict: str = "allow", url: str = "url", listed_url: str = "canonical_url", bits_per_url: int = BITS_PER_URL, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``pages`` with host, path, canonical_url, possible (the filter's answer), listed, rule and verdict.
 
     The rule decides where one fits, else the list. Rows are never dropped or merged: repeated pages, null and
-    odd URLs (no host: never listed) each give a row. Input columns of the added names are replaced. Nulls and
-    repeats in the list are ignored; with an empty list nothing is listed.
+    odd URLs (no host: never listed) each give a row. Input columns of the added names are replaced, all others
+    stay, whatever their names. Nulls and repeats in the list are ignored; with an empty list nothing is listed.
     """
+    p = own_prefix(pages)
+    own = lambda name: f"{p}{name}"
     added = ("host", "path", "canonical_url", "possible", "listed", "rule", "verdict")
-    host, path = split_url(F.col(url))
-    wanted = listed.select(F.col(listed_url).alias("canonical_url")).where("canonical_url is not null").distinct()
+    wanted = materialise(listed.select(F.col(listed_url).alias(own("url"))).where(F.col(own("url")).isNotNull()).distinct())
     n = wanted.count()
     n_blocks = max(1, -(-n * bits_per_url // 256))
-    blocks = bloom_blocks(wanted, "canonical_url", n_blocks)
+    words = [own(f"w{i}") for i in range(4)]
+    blocks = bloom_blocks(wanted, own("url"), n_blocks).toDF(own("at"), *words)
     # the parts are named before they are used, so that no expression is worked out twice
-    p = pages.drop(*[c for c in added if c != url]).withColumn("host", host).withColumn("path", path)
-    p = p.withColumn("canonical_url", canonical(F.col("host"), F.col("path"))).withColumn("__h", F.xxhash64("canonical_url")).withColumn("block", F.pmod(F.shiftrightunsigned("__h", 24), F.lit(n_blocks)))
-    p = p.withColumn("block", F.when(F.col("canonical_url").isNotNull(), F.col("block")))
-    p = p.join(maybe_broadcast(blocks, n_blocks, broadcast_rows), "block", "left")
+    rest = [c for c in pages.columns if c not in added]
+    host, path = split_url(F.col(url))
+    out = pages.withColumn(own("host"), host).withColumn(own("path"), path).select(*rest, own("host"), own("path"))
+    out = out.withColumn(own("canonical"), canonical(F.col(own("host")), F.col(own("path")))).withColumn(own("h"), F.xxhash64(own("canonical")))
+    out = out.withColumn(own("salt"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    # pages without a host have no block; numbers below 0, which no block has, spread them
+    block = F.when(F.col(own("canonical")).isNotNull(), F.pmod(F.shiftrightunsigned(own("h"), 24), F.lit(n_blocks))).otherwise(-1 - F.col(own("salt")))
+    out = out.withColumn(own("block"), block).join(maybe_broadcast(blocks, n_blocks, broadcast_rows), F.col(own("block")) == F.col(own("at")), "left")
     hit = None
-    for i, bit in enumerate(_bits("__h")):
-        here = F.col(f"w{i}").bitwiseAND(bit) != 0
+    for word, bit in zip(words, _bits(own("h")), strict=True):
+        here = F.col(word).bitwiseAND(bit) != 0
         hit = here if hit is None else hit & here
-    p = p.withColumn("possible", F.coalesce(hit, F.lit(False))).drop("block", "__h", "w0", "w1", "w2", "w3")
+    out = out.withColumn(own("possible"), F.coalesce(hit, F.lit(False)))
+    on = own("on")
     if n <= broadcast_rows:
-        exact = F.broadcast(wanted.select(F.col("canonical_url").alias("__url"), F.lit(True).alias("__on")))
-        p = p.join(exact, F.when(F.col("possible"), F.col("canonical_url")) == F.col("__url"), "left")
+        exact = F.broadcast(wanted.withColumn(on, F.lit(True)))
+        out = out.join(exact, F.when(F.col(own("possible")), F.col(own("canonical"))) == F.col(own("url")), "left")
     else:
-        salted = wanted.select(F.col("canonical_url").alias("__url"), F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("__slot"), F.lit(True).alias("__on"))
-        p = p.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-        p = p.join(salted, (F.when(F.col("possible"), F.col("canonical_url")) == F.col("__url")) & (F.col("__salt") == F.col("__slot")), "left").drop("__salt", "__slot")
-    p = p.withColumn("listed", F.coalesce(F.col("__on"), F.lit(False))).drop("__on", "__url").withColumn("__rule", rule_for(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("listed"), F.lit(listed_verdict)).otherwise(F.lit(else_verdict)))
-    return p.withColumn("rule", F.col("__rule.rule")).withColumn("verdict", verdict).drop("__rule")
-
-
-def listed_urls(spark: SparkSession) -> DataFrame:
-    """The list of the registered query: the numbered pages of the listed hosts, by rule."""
-    out = spark.range(LISTED_PAGES).select(F.col("id").cast("string").alias("n"))
-    out = out.withColumn("host", F.explode(F.array(*[F.lit(x) for x in LISTED_HOSTS]))).withColumn("lang", F.explode(F.array(*[F.lit(x) for x in LISTED_LANGS])))
-    return out.select(F.concat_ws("/", "host", "lang", "n").alias("canonical_url"))
+        slot = own("slot")
+        salted = wanted.withColumn(slot, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn(on, F.lit(True))
+        # pages that the filter lets pass get keys that no URL has, spread over tasks
+        key = F.when(F.col(own("possible")), F.col(own("canonical"))).otherwise(F.concat(F.lit("\0"), F.col(own("h")).cast("string")))
+        out = out.withColumn(own("key"), key).join(salted, (F.col(own("key")) == F.col(own("url"))) & (F.col(own("salt")) == F.col(slot)), "left")
+    out = out.withColumn(own("listed"), F.coalesce(F.col(on), F.lit(False))).withColumn(own("rule"), rule_for(F.col(own("host")), F.col(own("path")), rules))
+    verdict = F.coalesce(F.col(own("rule"))["verdict"], F.when(F.col(own("listed")), F.lit(listed_verdict)).otherwise(F.lit(else_verdict)))
+    named = [F.col(own("host")).alias("host"), F.col(own("path")).alias("path"), F.col(own("canonical")).alias("canonical_url"), F.col(own("possible")).alias("possible"), F.col(own("listed")).alias("listed"), F.col(own("rule"))["rule"].alias("rule"), verdict.alias("verdict")]
+    return out.select(*rest, *named)
+
+
+def listed_urls(pages: DataFrame, url: str = "url") -> DataFrame:
+    """The list of the registered query, which grows with the pages: the canonical URLs of those on the listed sites."""
+    host, path = split_url(F.col(url))
+    parts = pages.select(host.alias("host"), path.alias("path")).select(canonical(F.col("host"), F.col("path")).alias("canonical_url"))
+    return parts.where(F.col("canonical_url").rlike(LISTED_SITES)).distinct()

@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, work_dir
+from .common import materialise, maybe_broadcast, ship, work_dir
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 1 << 29
@@ -31,7 +31,6 @@ MIN_REVISIT = 100
 LEVEL = 3
 #: Time stamp of the records, a parameter so that reruns agree.
 DATE = "2024-01-01T00:00:00Z"
-SALTS = 8
 # Fixed values of the Zstandard seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
@@ -58,7 +57,7 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, digest: s
         b"WARC-Type: " + (b"revisit" if revisit else b"response"),
         b"WARC-Record-ID: <" + record_id(page_id).encode() + b">",
         b"WARC-Date: " + date.encode(),
-        b"WARC-Target-URI: " + _safe(url or ""),
+        *([] if url is None else [b"WARC-Target-URI: " + _safe(url)]),
         b"WARC-Payload-Digest: sha256:" + digest.encode(),
         b"X-Page-ID: " + (b"" if page_id is None else b"%d" % page_id),
         b"Content-Type: application/http; msgtype=response",
@@ -146,11 +145,9 @@ def decide(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
     """
     p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256))
-    first = p.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
-    # only payloads that repeat are repeated for each salt; a payload that a third of all pages share is so spread
-    salted = first.select(F.col("digest").alias("d"), "first", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("s"))
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    j = p.withColumn("salt", salt).join(salted, (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s")), "left")
+    first = materialise(p.where(F.octet_length("payload") >= MIN_REVISIT).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("d", "first"))
+    # as a table, so that a join that is not by broadcast may split a payload that a third of all pages share
+    j = p.join(maybe_broadcast(first, first.count()), F.col("digest") == F.col("d"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return j.select("page_id", "url", "payload", "digest", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -211,7 +208,7 @@ def read_records(index: DataFrame, out_dir: str, payloads: bool = False) -> Data
                 if body is not None and (len(body) != size or hashlib.sha256(body).hexdigest() != digest):
                     raise ValueError(f"the payload of record {h['warc-record-id']} is damaged")
                 number = lambda x: int(x) if x else None
-                out.append((number(h["x-page-id"]), h["warc-target-uri"], h["warc-type"], number(h.get("x-refers-to-page")), size, digest, body)[: 6 + payloads])
+                out.append((number(h["x-page-id"]), h.get("warc-target-uri"), h["warc-type"], number(h.get("x-refers-to-page")), size, digest, body)[: 6 + payloads])
             cols = zip(*out, strict=True) if out else [[]] * (6 + payloads)
             types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())[: 6 + payloads]
             names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"][: 6 + payloads]
@@ -233,7 +230,8 @@ def archive(pages: DataFrame, out_dir: str | None = None) -> tuple[DataFrame, st
 def round_trip(pages: DataFrame, out_dir: str | None = None) -> DataFrame:
     """Archive ``pages`` and read everything back: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
 
-    One row a row of ``pages``; null html is an empty payload; an empty table gives an empty one.
+    One row a row of ``pages``; null html is an empty payload; a null url has no header and comes back null; line
+    breaks in a url come back as %0D and %0A; an empty table gives an empty one.
     """
     index, where = archive(pages, out_dir)
     return read_records(index, where).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
