@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlode.llm import decontam, mixing, quality, sharding, simhash
-from siftlode.llm.common import table, work_dir
+from siftlode.llm.common import own_prefix, table, work_dir
 
 SHARDS = 16
 
@@ -38,8 +38,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their shard, their slot in it, and the shard they would move to if there were one more."""
-    tagged = docs.withColumn("__crc", F.crc32(F.coalesce("text", F.lit(""))))
-    return sharding.shard_records(tagged, "doc_id", [1.0] * SHARDS, [1.0] * (SHARDS + 1), order=("__crc",)).drop("__crc")
+    crc = f"{own_prefix(docs)}crc"
+    tagged = docs.withColumn(crc, F.crc32(F.coalesce("text", F.lit(""))))
+    return sharding.shard_records(tagged, "doc_id", [1.0] * SHARDS, [1.0] * (SHARDS + 1), order=(crc,)).drop(crc)
 
 
 STAGES = [

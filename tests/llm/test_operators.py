@@ -1,6 +1,7 @@
 """Null, empty, repeated and clashing inputs, and results by brute force, of the operators without an SQL equivalent or with
 cases that the tables lack."""
 
+import hashlib
 import itertools
 import random
 import zlib
@@ -10,7 +11,7 @@ import pyarrow.fs as fs
 import pytest
 from pyspark.sql import functions as F
 
-from siftlode.llm import decontam, embed_dedup, html_extract, line_dedup, mixing, quality, sharding, url_filter, warc
+from siftlode.llm import decontam, embed_dedup, html_extract, line_dedup, mixing, quality, queries, sharding, url_filter, warc
 from siftlode.llm.common import work_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -39,6 +40,20 @@ def test_url_filter(spark):
     assert not any(r.listed for r in url_filter.filter_urls(pages, listed.limit(0)).collect())
 
 
+def test_url_filter_keeps_columns_of_any_name(spark):
+    names = ["__on", "__url", "__h", "__rule", "block", "w0", "w1", "___h", "salt"]
+    pages = spark.createDataFrame([(1, "http://bad.test/p/1", *names)], ["page_id", "url", *names])
+    listed = spark.createDataFrame([("bad.test/p/1",)], "canonical_url string")
+    for limit in (10, 0):
+        r = url_filter.filter_urls(pages, listed, broadcast_rows=limit).first()
+        assert [r[n] for n in names] == names and (r.page_id, r.listed, r.verdict) == (1, True, "block")
+
+
+def test_the_registered_list_grows_with_the_pages(spark):
+    pages = spark.createDataFrame([("http://www.spam-farm.x.test/en/1.html",), ("http://spam-farm.x.test/en/1",), ("http://ok.test/1",), (None,)], "url string")
+    assert [r[0] for r in url_filter.listed_urls(pages).collect()] == ["spam-farm.x.test/en/1"]
+
+
 # ---- HTML
 
 
@@ -60,7 +75,7 @@ def test_repeated_runs_by_brute_force():
             if len(where[tuple(toks[i : i + run])]) >= least:
                 mark[i : i + run] = [True] * run
         want.append(mark)
-    got = html_extract.repeated([np.array(p, np.int64) for p in pages], run, least)
+    got = html_extract.repeated([np.array(p, np.int64) for p in pages], least, run=run)[0]
     assert [g.tolist() for g in got] == want
 
 
@@ -95,6 +110,28 @@ def test_sharding(spark):
     assert sharding.shard_documents(docs(spark, rows[:1]).limit(0)).collect() == []
 
 
+def slow_winner(key, shards):
+    text = "\0null" if key is None else str(key)
+    return max(range(shards), key=lambda i: (int(hashlib.md5(f"{text}:{i}".encode()).hexdigest()[:13], 16), -i))
+
+
+def test_winners_and_slots_against_a_plain_loop(spark):
+    rows = [(i * 7919 % 4001, f"t{i}", "s") for i in range(700)] + [(None, "", None), (5, "x" * 400_000, "s")]
+    got = sharding.shard_documents(docs(spark, rows)).collect()
+    assert all((r["shard"], r.grown_shard) == (slow_winner(r.doc_id, 16), slow_winner(r.doc_id, 17)) for r in got)
+    assert {r.size for r in got if r.doc_id == 5} == {len(t) + 1 for i, t, _ in rows if i == 5}
+
+
+def test_shards_keep_columns_of_any_name(spark):
+    names = ["__h", "__bucket", "__row", "__offset", "__n", "__shard"]
+    df = spark.createDataFrame([(k, *names) for k in ("a", "null", None, "a")], ["k", *names])
+    out = sharding.shard_records(df, "k", [1.0] * 64, [1.0] * 65)
+    assert out.columns == ["k", *names, "shard", "grown_shard", "slot"]
+    got = out.collect()
+    assert all([r[n] for n in names] == names for r in got)
+    assert len({r["shard"] for r in got if r.k in ("null", None)}) == 2
+
+
 def test_weighted_shards(spark):
     df = spark.range(4000).select(sharding.rendezvous(F.col("id"), [1, 3, 0]).alias("s"), sharding.rendezvous(F.col("id"), [1, 3, 0, 4]).alias("g"))
     rows = df.collect()
@@ -142,14 +179,20 @@ def test_mix(spark):
 def test_mixed_documents_follow_the_mix(spark):
     rnd = random.Random(9)
     rows = [(i, " ".join(["w"] * rnd.randrange(1, 60)), rnd.choice("aabbbbbbcd")) for i in range(900)] + [(None, "n n", None), (1000, "", "a"), (1001, None, "a")]
-    d = docs(spark, rows).withColumn("target", F.lit("clash"))
+    rows += [(7, " ".join(["w"] * (i % 9)) + f" x{i}", "b") for i in range(200)] + [(8, "v " * 50_000, "c")]
+    clash = ["target", "__more", "__s", "__cut", "__key", "__range", "__times", "__copy", "__edge", "size", "c"]
+    d = docs(spark, rows)
+    for c in clash:
+        d = d.withColumn(c, F.lit(f"own {c}"))
     out = mixing.mixed_documents(d)
     assert out.columns == d.columns
-    times = {}
+    times, want = {}, {}
     for r in out.collect():
         times[r.doc_id] = times.get(r.doc_id, 0) + 1
+        assert all(r[c] == f"own {c}" for c in clash)
     for r in mixing.mix(d).collect():
-        assert times.get(r.doc_id, 0) == (int(r.taken / r.size + 0.5) if r.size else 0)
+        want[r.doc_id] = want.get(r.doc_id, 0) + (int(r.taken / r.size + 0.5) if r.size else 0)
+    assert times == {k: n for k, n in want.items() if n}
     assert mixing.mixed_documents(d.limit(0)).collect() == []
 
 
@@ -163,6 +206,7 @@ def test_warc_round_trip(spark):
     out = {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got.collect()}
     assert out == {(5, "revisit", 3, 200), (3, "response", None, 200), (9, "revisit", 3, 200), (4, "response", None, 0), (6, "response", None, 0), (7, "response", None, 5), (8, "response", None, 5), (None, "revisit", 3, 200), (10, "response", None, 6_000_000)}
     assert got.count() == len(rows)
+    assert {r.page_id: r.url for r in got.collect()} == {5: "u5", 3: "u3", 9: "u%0D%0A9", 4: None, 6: "u6", 7: "u7", 8: "u8", None: "n", 10: "b"}
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
@@ -201,6 +245,42 @@ def test_quality(spark):
     assert quality.score_documents(d.limit(0), labels).collect() == []
 
 
+def test_votes_against_a_plain_loop():
+    """Exact nearest neighbours and their votes, ties at the cut included, one text and one labelled vector at a time."""
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice(["ab", "cd.", "EF", "12", "g-h"]) for _ in range(rnd.randrange(1, 40))) for _ in range(60)]
+    texts += [texts[0]] * 20 + ["", None, "long " * 60_000, "é\x00 \n"]
+    model = fitted(texts[:70], [i % 3 > 0 for i in range(70)])
+    for text, score in zip(texts, model.scores(texts), strict=True):
+        x = model.project(text)
+        cos = [sum(float(a) * float(b) for a, b in zip(x, v, strict=True)) for v in model.vectors]
+        least = sorted(cos, reverse=True)[quality.NEIGHBOURS - 1] - 1e-6
+        votes = [(max(c, 0) ** quality.SHARPNESS * w, y) for c, w, y in zip(cos, model.weights, model.labels, strict=True) if c >= least]
+        total = sum(v for v, _ in votes)
+        assert score == pytest.approx(sum(v * y for v, y in votes) / total if total > 1e-12 else model.prior, abs=1e-4)
+
+
+def fitted(texts, labels):
+    import pyarrow as pa
+
+    rows = []
+    for i, (t, y) in enumerate(zip(texts, labels, strict=True)):
+        at, n = quality.term_counts(t)
+        rows.append({"doc_id": i, "label": int(y), "at": at.tolist(), "n": n.tolist()})
+    return quality._fitted(pa.Table.from_pylist(rows), {0: labels.count(False), 1: labels.count(True)})
+
+
+def test_recurrence():
+    assert quality.recurrence("a b a c c a b".split()) == [0, 0, 2, 0, 1, 2, 3]
+
+
+def test_kept_documents_keep_columns_of_any_name(spark):
+    d = docs(spark, [(i, f"text {i}", "s") for i in range(9)]).withColumn("__score", F.lit("own"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(d, labels)
+    assert kept.columns == d.columns and {r["__score"] for r in kept.collect()} == {"own"} and kept.count() == 9
+
+
 # ---- embeddings
 
 
@@ -218,8 +298,9 @@ def test_estimates_are_unbiased_and_bounded():
 def test_embedding_links_against_brute_force(spark, tile):
     rnd = np.random.default_rng(1)
     base = rnd.standard_normal((120, 64))
-    near = np.concatenate([base[:60] + rnd.standard_normal((60, 64)) * s for s in (0.0, 0.05, 0.1, 0.15)])
+    near = np.concatenate([base[:60] + rnd.standard_normal((60, 64)) * s for s in (0.0, 0.0, 0.05, 0.1, 0.15)])
     clump = base[0] + rnd.standard_normal((80, 64)) * 0.05
+    clump[:40:4] = clump[0]
     x = np.concatenate([base, near, clump]).astype(np.float32)
     label = [int(i) % 2 for i in range(len(x))]
     rows = [(i, [float(v) for v in x[i]], label[i]) for i in range(len(x))]
@@ -230,8 +311,9 @@ def test_embedding_links_against_brute_force(spark, tile):
     unit = y / np.sqrt((y * y).sum(axis=1, keepdims=True))
     want = [(i, j) for i in range(len(x)) for j in range(i) if label[i] == label[j] and unit[i] @ unit[j] >= 0.98]
     if got is None:  # large buckets in tiles
-        found = embed_dedup.find_links(embed_dedup.usable(df, "vec_id", "embedding", "label"), tile=tile).where("v is null")
-        n = found.agg(F.sum("n")).first()[0] / 2
+        distinct, names = embed_dedup.distinct_vectors(embed_dedup.usable(df, "vec_id", "embedding", "label"))
+        found = embed_dedup.find_links(distinct, tile=tile).where("v is null").groupBy(F.col("u").alias("one")).agg(F.sum("n").alias("n"))
+        n = names.join(found, "one", "left").agg(F.sum(F.coalesce("n", F.lit(0)) + F.col("copies") - 1)).first()[0] / 2
         assert 0.99 * len(want) <= n <= len(want)
         return
     n = np.zeros(len(x), int)
@@ -246,6 +328,19 @@ def test_embedding_links_against_brute_force(spark, tile):
     assert embed_dedup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_the_registered_embedding_query_on_rows_with_links(spark, tmp_path):
+    rnd = np.random.default_rng(4)
+    base = rnd.standard_normal((40, 64))
+    x = np.concatenate([base, base[:20] + rnd.standard_normal((20, 64)) * 0.02, np.repeat(base[:1], 200, axis=0)])
+    spark.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r for r in queries.QUERIES["op7_embedding_dedup"](spark, str(tmp_path)).collect()}
+    y = x.astype(np.float32).astype(np.float64)
+    unit = y / np.sqrt((y * y).sum(axis=1, keepdims=True))
+    n = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert [got[i].n_links for i in range(len(x))] == n.tolist() and n[0] >= 200
+    assert all(got[i].component_id == (i - 40 if 40 <= i < 60 else i if i < 60 else 0) for i in range(len(x)))
+
+
 # ---- lines
 
 
@@ -321,4 +416,10 @@ def test_decontamination(spark):
         assert {tuple(r) for r in decontam.contaminated(d, bench, seed_rows=limit).collect()} == want
     clean = decontam.decontaminate(d, bench)
     assert clean.columns == d.columns and {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - {i for i, *_ in want}
+    # a long item is rows of a bounded size, found wherever a window of it is
+    long = [f"q{i}" for i in range(30_000)]
+    bench = spark.createDataFrame([(7, " ".join(long)), (8, " ".join(long[::-1]))], "item_id long, text string")
+    d = spark.createDataFrame([(1, " ".join(["x", *long[20_000:20_013], "y"])), (2, " ".join(long[29_990:])), (3, " ".join(long[29_987:]))], "doc_id long, text string")
+    for limit in (10**6, 50_000):
+        assert sorted(tuple(r) for r in decontam.contaminated(d, bench, seed_rows=limit).collect()) == [(1, 7, 13), (3, 7, 13)]
     assert decontam.contaminated(d, bench.limit(0)).collect() == [] and decontam.contaminated(d.limit(0), bench).collect() == []
