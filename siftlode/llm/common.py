@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 #: Words of 64 bits in the filter of listed ids, a power of two; it is broadcast and has no more rows than these.
 FILTER_WORDS = 1 << 17
+#: Rows of a file of a table whose size is known.
+ROWS_A_FILE = 500_000
 #: Setting under which a query's shuffle files are deleted at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -47,10 +49,16 @@ def clear_work(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, path: str | None = None, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts the lineage for good:
-    a lost executor costs a reread, never a recomputation. The shuffles behind it leave the disks when it is written."""
+    a lost executor costs a reread, never a recomputation. The shuffles behind it leave the disks when it is written.
+
+    Where ``rows`` is known, a bound of its number of rows, the files are as few as it takes to hold so many: for results of
+    joins and sums, whose last tasks are light.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = path or work_dir(spark)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
@@ -77,7 +85,7 @@ def part_by_ids(rows: DataFrame, column: str, ids: DataFrame, listed: str, n_wor
     bit = lambda n: f"shiftleft(1L, cast(shiftrightunsigned({p}h, {n}) & 63 as int))"
     bits, word = F.expr(f"{bit(0)} | {bit(6)}"), F.shiftrightunsigned(f"{p}h", 64 - (n_words - 1).bit_length())
     hashed = ids.select(F.xxhash64(listed).alias(f"{p}h")).select(word.alias(f"{p}word"), bits.alias(f"{p}bits"))
-    filter_ = materialise(hashed.groupBy(f"{p}word").agg(F.bit_or(f"{p}bits").alias(f"{p}set")))
+    filter_ = materialise(hashed.groupBy(f"{p}word").agg(F.bit_or(f"{p}bits").alias(f"{p}set")), rows=n_words)
     asked = rows.withColumn(f"{p}h", F.xxhash64(column)).withColumn(f"{p}at", word).withColumn(f"{p}bits", bits)
     asked = asked.join(F.broadcast(filter_), F.col(f"{p}at") == F.col(f"{p}word"), "left")
     may = F.coalesce(F.col(f"{p}set").bitwiseAND(F.col(f"{p}bits")) == F.col(f"{p}bits"), F.lit(False))

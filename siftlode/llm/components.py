@@ -28,6 +28,7 @@ def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFr
     spark, base = links.sparkSession, work_dir(links.sparkSession)
     a, b = F.col(u), F.col(v)
     e = materialise(links.where(a != b).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct(), f"{base}/links0")
+    size = e.count()
     maps: list[DataFrame] = []
     while not e.isEmpty():
         n = len(maps)
@@ -36,18 +37,18 @@ def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFr
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(n)).alias("h"), F.col(c).alias("node"))  # noqa: B023, E731
         both = e.select(F.col("u").alias("node"), rank("v").alias("near")).union(e.select(F.col("v").alias("node"), rank("u").alias("near")))
         best = both.groupBy("node").agg(F.min("near").alias("near"))
-        m = materialise(best.select("node", F.least(F.col("near"), rank("node"))["node"].alias("name")), f"{base}/map{n}")
+        m = materialise(best.select("node", F.least(F.col("near"), rank("node"))["node"].alias("name")), f"{base}/map{n}", 2 * size)
         maps.append(m)
         left, right = m.select(F.col("node").alias("u"), F.col("name").alias("nu")), m.select(F.col("node").alias("v"), F.col("name").alias("nv"))
         e = e.join(left, "u").join(right, "v").where("nu <> nv").select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v"))
-        e = materialise(e.distinct(), f"{base}/links{n + 1}")
+        e = materialise(e.distinct(), f"{base}/links{n + 1}", size)
     if not maps:
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     out = maps[0].select("node", F.col("name").alias("root"))
     for m in maps[1:]:
         step = m.select(F.col("node").alias("root"), "name")
         out = out.join(step, "root", "left").select("node", F.coalesce("name", "root").alias("root"))
-    return materialise(out, f"{base}/roots")
+    return materialise(out, f"{base}/roots", 2 * size)
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

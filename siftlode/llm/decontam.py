@@ -93,6 +93,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents that contain a benchmark item; rows that share an id share its fate."""
     listed = f"{own_prefix(docs)}id"
-    bad = materialise(contaminated(docs, benchmark, doc_id, text).select(F.col("doc_id").alias(listed)).distinct())
+    found = materialise(contaminated(docs, benchmark, doc_id, text).select(F.col("doc_id").alias(listed)))
+    bad = materialise(found.distinct(), rows=found.count())
     clean, possible = part_by_ids(docs, doc_id, bad, listed)
     return clean.unionByName(possible.join(bad, F.col(doc_id).eqNullSafe(F.col(listed)), "left_anti"))

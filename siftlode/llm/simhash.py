@@ -235,7 +235,7 @@ def ball_links(fps: DataFrame, radius: int = RADIUS, key_rows: int = KEY_ROWS, r
         raise ValueError("the radius must be even")
     rows, used, out = _keyed(fps, radius), KEY_BITS, None
     while True:
-        hot = materialise(rows.groupBy("code", "key").count().where(F.col("count") > key_rows).select("code", "key")) if used < 48 else None
+        hot = materialise(rows.groupBy("code", "key").count().where(F.col("count") > key_rows).select("code", "key"), rows=64 << used) if used < 48 else None
         n = hot.count() if hot is not None else 0
         if not n:
             found = _meet(rows, 64 - used, radius, run)
@@ -261,15 +261,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are read.
     """
     fps = materialise(with_fingerprints(docs, doc_id, text, shingle))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     links = _links(distinct.select(F.lit(0).alias("code"), "fp"), radius)
     roots = connected_components(links)
-    named = materialise(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
+    n = distinct.count()
+    named = materialise(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left"), rows=n)
     # components are looked up for distinct fingerprints that have links; documents meet them by fingerprint alone.
     # As tables, both sides leave the join free to split a root that very many fingerprints share.
-    least = materialise(named.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id")))
+    least = materialise(named.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id")), rows=n)
     linked = named.where("root is not null").join(least, "root").select("fp", "component_id")
-    of_fp = materialise(named.where("root is null").select("fp", F.col("least").alias("component_id")).union(linked))
+    of_fp = materialise(named.where("root is null").select("fp", F.col("least").alias("component_id")).union(linked), rows=n)
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -335,8 +336,9 @@ def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
     own = nodes.select("t", F.posexplode("codes").alias("code", "fp"))
     values = materialise(own.groupBy("code", "fp").agg(F.count(F.lit(1)).alias("n")))
     links = _links(values.select("code", "fp"), radius)
+    size = 2 * links.count() + values.where("n > 1").count()
     name = lambda c: F.xxhash64("code", c)
-    met = materialise(links.select(name("u").alias("v")).union(links.select(name("v").alias("v"))).union(values.where("n > 1").select(name("fp").alias("v"))).distinct())
+    met = materialise(links.select(name("u").alias("v")).union(links.select(name("v").alias("v"))).union(values.where("n > 1").select(name("fp").alias("v"))).distinct(), rows=size)
     # each node is linked to the names of its fingerprints, and those among each other
     edges = own.select(F.col("t").alias("u"), name("fp").alias("v")).join(met, "v", "left_semi").select("u", "v")
     roots = connected_components(edges.union(links.select(name("u").alias("u"), name("v").alias("v"))))
@@ -345,7 +347,8 @@ def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
 
 def _sets(docs: DataFrame, found: DataFrame, wanted: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
     """(root, t, fp, own): the sets of ``wanted`` (t, root, fp), from one row of each; only those rows' texts move."""
-    one = materialise(found.select("doc_id", "th", "t").join(wanted.select("t"), "t", "left_semi").groupBy("t").agg(F.min(F.struct("th", "doc_id")).alias("row")).select("t", F.col("row.th").alias("lh"), F.col("row.doc_id").alias("id")))
+    n = wanted.count()
+    one = materialise(found.select("doc_id", "th", "t").join(wanted.select("t"), "t", "left_semi").groupBy("t").agg(F.min(F.struct("th", "doc_id")).alias("row")).select("t", F.col("row.th").alias("lh"), F.col("row.doc_id").alias("id")), rows=n)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("th", F.xxhash64("text"))
     _, near = part_by_ids(rows, "th", one, "lh")
     own = near.join(one, (F.col("th") == F.col("lh")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("t", "text")
@@ -374,12 +377,13 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     found = materialise(_with_codes(docs, doc_id, text, codes))
     nodes = materialise(found.groupBy("t").agg(F.first("codes").alias("codes"), F.min("doc_id").alias("least")))
-    wanted = materialise(_candidates(nodes, radius))
+    n = nodes.count()
+    wanted = materialise(_candidates(nodes, radius), rows=n)
     roots = connected_components(verified_links(_sets(docs, found, wanted, doc_id, text, shingle), similar))
-    named = materialise(nodes.select("t", "least").join(roots.withColumnRenamed("node", "t"), "t", "left"))
-    least = materialise(named.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id")))
+    named = materialise(nodes.select("t", "least").join(roots.withColumnRenamed("node", "t"), "t", "left"), rows=n)
+    least = materialise(named.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id")), rows=n)
     linked = named.where("root is not null").join(least, "root").select("t", "component_id")
-    of_node = materialise(named.where("root is null").select("t", F.col("least").alias("component_id")).union(linked))
+    of_node = materialise(named.where("root is null").select("t", F.col("least").alias("component_id")).union(linked), rows=n)
     return found.select("doc_id", "t").join(of_node, "t").select("doc_id", "component_id")
 
 
@@ -395,7 +399,7 @@ def keep_least(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> Dat
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     listed = f"{own_prefix(docs)}id"
     # ids of which no row stays, or several would
-    odd = materialise(found.groupBy(F.col("doc_id").alias(listed)).agg(F.count_if(stays).alias("n")).where("n <> 1"))
+    odd = materialise(found.groupBy(F.col("doc_id").alias(listed)).agg(F.count_if(stays).alias("n")).where("n <> 1"), rows=found.count())
     single, possible = part_by_ids(docs, doc_id, odd, listed)
     same = F.col(doc_id).eqNullSafe(F.col(listed))
     kept = single.unionByName(possible.join(odd.select(listed), same, "left_anti"))

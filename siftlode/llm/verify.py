@@ -74,7 +74,8 @@ def verified_links(sets: DataFrame, similar: tuple[int, int] = SIMILAR, members:
     similar enough. ``sets``: (root, t, fp, own), a row a member; fp is any fingerprint of it."""
     size = sets.groupBy("root").agg(F.count(F.lit(1)).alias("g"), F.sum(F.size("own").cast("long")).alias("total"))
     size = size.withColumn("blocks", F.greatest(F.ceil(F.col("g") / members), F.ceil(F.col("total") / shingles)).cast("int"))
-    large = materialise(size.where("blocks > 1").select("root", "blocks"))
+    members_ = sets.count()
+    large = materialise(size.where("blocks > 1").select("root", "blocks"), rows=members_)
     n = large.count()
     if not n:
         return materialise(_compare(sets, ("root",), similar))
@@ -89,7 +90,7 @@ def verified_links(sets: DataFrame, similar: tuple[int, int] = SIMILAR, members:
     majority = majority.select("root", code.alias("code"))
     far = F.bit_count(F.col("fp").bitwiseXOR(F.col("code")))
     leader = big.select("root", "blocks", "t", "fp").join(maybe_broadcast(majority, n), "root").groupBy("root", "blocks").agg(F.min(F.struct(far.alias("far"), "t")).alias("lead"))
-    leader = materialise(leader.select("root", "blocks", F.col("lead.t").alias("t")))
+    leader = materialise(leader.select("root", "blocks", F.col("lead.t").alias("t")), rows=n)
     heads = big.join(maybe_broadcast(leader.select("root", "t"), n), ["root", "t"], "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = big.withColumn("block", F.pmod(F.xxhash64("t", F.lit(1)), F.col("blocks")).cast("int"))
     once = materialise(_compare(dealt.select("root", "block", "t", "own").union(heads.select("root", "block", "t", "own")), ("root", "block"), similar))
@@ -99,9 +100,9 @@ def verified_links(sets: DataFrame, similar: tuple[int, int] = SIMILAR, members:
     placed = big.select("root", "blocks", "t").join(pieces, "t", "left").withColumn("piece", F.coalesce("piece", "t"))
     count = placed.groupBy("root", "piece").agg(F.count(F.lit(1)).alias("m"))
     most = count.groupBy("root").agg(F.max(F.struct("m", "piece")).alias("top"))
-    rest = materialise(placed.join(maybe_broadcast(most, n), "root").where("piece <> top.piece").select("root", "t"))
+    rest = materialise(placed.join(maybe_broadcast(most, n), "root").where("piece <> top.piece").select("root", "t"), rows=members_)
     left = rest.groupBy("root").agg(F.count(F.lit(1)).alias("r")).join(large, "root").withColumn("tiles", F.ceil(F.col("r") * F.col("blocks") / members) + 1)
-    left = materialise(left.select("root", F.least("tiles", "blocks").cast("int").alias("tiles")))
+    left = materialise(left.select("root", F.least("tiles", "blocks").cast("int").alias("tiles")), rows=n)
     if left.isEmpty():
         return links
     tile = F.pmod(F.xxhash64("t", F.lit(2)), F.col("tiles")).cast("int")
