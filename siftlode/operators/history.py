@@ -37,19 +37,6 @@ def expansion_texts(train: DataFrame, items: DataFrame, top: int = TOP_QUERIES)
     return items.select("item_id").join(joined, "item_id", "left").select("item_id", F.coalesce("expansion", F.lit("")).alias("expansion"))
 
 
-def knn(vectors: DataFrame, neighbours: int, min_sim: float, vec: str = "embedding", key: str = "vec_id", group: str = "label") -> DataFrame:
-    """(key, other, sim, r): of each vector, its ``neighbours`` nearest in the same group by cosine, itself left out; those
-    under ``min_sim`` are dropped after the cut."""
-    unit = F.transform(F.col(vec), lambda x: x.cast("double"))
-    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    v = vectors.select(key, group, unit.alias("v")).withColumn("v", F.transform("v", lambda x: x / length(F.col("v"))))
-    b = v.select(F.col(key).alias("other"), F.col(group).alias("__g"), F.col("v").alias("u"))
-    dot = F.aggregate(F.zip_with("v", "u", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = v.join(b, (F.col(group) == F.col("__g")) & (F.col(key) != F.col("other"))).select(key, "other", dot.alias("sim"))
-    ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.bround("sim", 5)), "other")))
-    return ranked.where((F.col("r") <= neighbours) & (F.col("sim") >= min_sim))
-
-
 def graph_expansion(near: DataFrame, texts: DataFrame, key: str = "vec_id") -> DataFrame:
     """(key, expansion): texts (other, text) of a vector's neighbours, most similar first; those without text are left out."""
     j = near.join(texts.where("text <> ''"), "other").select(key, F.col("r"), "text")

@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import char_ngrams, haversine_km, parse_filters
+from ..sources.work import keep
 from . import lexical
 
 KNN = 20
 KNN_POWER = 3.0
+#: Characters of a run by which texts and what they may contain meet.
+GRAM = 8
 
 
 def location_counts(train: DataFrame) -> DataFrame:
@@ -37,7 +40,7 @@ def location_prior(counts: DataFrame, query_locs: DataFrame, item_locs: DataFram
     own = cold.join(locs.select(F.col("item_loc").alias("search_loc")), "search_loc", "left_semi") if fallback == "self" else cold.limit(0)
     single = own.select("search_loc", F.col("search_loc").alias("item_loc"), F.lit(1.0).alias("p"))
     # few locations on either side: a row for each pair is the prior itself
-    even = cold.join(own, "search_loc", "left_anti").crossJoin(F.broadcast(locs)).select("search_loc", "item_loc", F.lit(1.0 / max(1, n)).alias("p"))
+    even = cold.join(own, "search_loc", "left_anti").crossJoin(locs).select("search_loc", "item_loc", F.lit(1.0 / max(1, n)).alias("p"))
     return seen.union(single).union(even)
 
 
@@ -67,7 +70,7 @@ def geo_smoothed(counts: DataFrame, centroids: DataFrame, query_locs: DataFrame,
     w = items.groupBy(F.col("item_location_id").alias("item_loc")).agg(F.count(F.lit(1)).alias("w"))
     a, b = centroids.select(F.col("loc").alias("search_loc"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")), centroids.select(F.col("loc").alias("item_loc"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     # locations times locations is the size of the prior
-    pairs = query_locs.select("search_loc").distinct().join(a, "search_loc", "left").crossJoin(F.broadcast(w.join(b, "item_loc", "left")))
+    pairs = query_locs.select("search_loc").distinct().join(a, "search_loc", "left").crossJoin(w.join(b, "item_loc", "left"))
     d = haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     k = pairs.withColumn("k", F.col("w") * F.coalesce(F.exp(-d / sigma), F.lit(1.0)))
     k = k.withColumn("k", F.col("k") / F.greatest(F.sum("k").over(Window.partitionBy("search_loc")), F.lit(1e-12)))
@@ -113,6 +116,26 @@ def filter_bonus(query_params: DataFrame, item_params: DataFrame, keys: Sequence
     pairs = query_params.select("params").distinct().select("params", F.explode(F.array_distinct(parse_filters(F.col("params"), keys))).alias("f")).select("params", "f.key", "f.value")
     pairs = pairs.withColumn("w", main[F.col("key")]).where("w is not null and value <> ''")
     needles = pairs.select("key", "value").distinct().withColumn("needle", F.concat_ws(" ", "key", "value") if match == "pair" else F.col("value"))
-    hay = item_params.select("item_params").distinct()
-    found = hay.join(needles, F.contains("item_params", "needle")).select("item_params", "key", "value")
+    found = _containing(item_params.select("item_params").distinct(), needles).select("item_params", "key", "value")
     return pairs.join(found, ["key", "value"]).groupBy("params", "item_params").agg(F.sum("w").alias("bonus"), F.array_sort(F.collect_set("key")).alias("hits"))
+
+
+def _containing(hay: DataFrame, needles: DataFrame, longest: int = GRAM) -> DataFrame:
+    """``hay`` (item_params) joined with the ``needles`` (needle, ...) that it contains.
+
+    Texts and needles meet by runs of characters: of each needle, the one of its runs of ``longest`` (or, if it is
+    shorter, itself) that fewest texts have. What meets is then compared.
+    """
+    hay = keep(hay)
+    needles = keep(needles.withColumn("__n", F.least(F.length("needle"), F.lit(longest))))
+    # at most ``longest`` numbers
+    lengths = sorted(r["__n"] for r in needles.select("__n").distinct().collect())
+    runs = lambda text, n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n)))
+    some = lambda text, n: F.when(F.length(text) >= n, runs(text, n)).otherwise(F.array().cast("array<string>"))
+    grams = hay.select("item_params", F.explode(F.array_distinct(F.flatten(F.array(*[some(F.col("item_params"), n) for n in lengths])))).alias("gram")) if lengths else hay.select("item_params", F.col("item_params").alias("gram")).limit(0)
+    grams = keep(grams)
+    spread = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    own = F.explode(F.when(F.col("__n") == longest, runs(F.col("needle"), longest)).otherwise(F.array("needle")))
+    rarest = needles.select("needle", own.alias("gram")).join(spread, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("x"))
+    met = rarest.where("x.df > 0").select("needle", "x.gram").join(grams, "gram").where(F.contains("item_params", "needle"))
+    return met.select("item_params", "needle").join(needles.drop("__n"), "needle")

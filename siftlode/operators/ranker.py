@@ -15,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.work import keep
+
 TREES = 150
 
 
@@ -23,10 +25,11 @@ def _assembled(rows: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def fit(rows: DataFrame, features: Sequence[str], trees: int = TREES, depth: int = 4, step: float = 0.1, seed: int = 42) -> Model:
-    """Fit on ``rows`` (query_id, label, features)."""
+    """Fit on ``rows`` (query_id, item_id, label, features)."""
     useful = rows.where("label = 1").select("query_id").distinct()
     train = rows.join(useful, "query_id", "left_semi").withColumn("__y", F.col("label").cast("double"))
-    # the fit reads its rows once a tree level; a fixed order makes reruns agree
+    # the fit reads its rows once a tree level, and bins and sums depend on their order: one order makes reruns agree
+    train = keep(train.repartition(F.col("query_id")).sortWithinPartitions("query_id", "item_id"))
     return GBTClassifier(featuresCol="__x", labelCol="__y", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed).fit(_assembled(train, features))
 
 

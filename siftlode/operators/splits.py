@@ -83,8 +83,8 @@ def rest_of(train: DataFrame, chosen: DataFrame, keys: Sequence[str] = CONTEXT)
     """Clicks that stay: without all of unseen texts, and without the held-out groups of seen ones."""
     unseen = chosen.where("slice = 'unseen'").select("query_norm").distinct()
     held = _renamed(chosen.where("slice = 'seen'").select(*keys).distinct(), keys)
-    out = train.join(F.broadcast(unseen), "query_norm", "left_anti")
-    return out.join(F.broadcast(held), _same(out, held, keys), "left_anti")
+    out = train.join(unseen, "query_norm", "left_anti")
+    return out.join(held, _same(out, held, keys), "left_anti")
 
 
 def widen(train: DataFrame, chosen: DataFrame, keys: Sequence[str] = QUERY_LOCATION) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +110,7 @@ def materialize(train: DataFrame, chosen: DataFrame, rest: DataFrame, keys: Sequ
     search columns; relevance: query_id, item_id, n_clicks, in_rest (the rest has the item).
     """
     c = _renamed(chosen.select(*keys, "slice", "query_id"), keys)
-    rows = train.join(F.broadcast(c), _same(train, c, keys)).drop(*[f"__{k}" for k in keys])
+    rows = train.join(c, _same(train, c, keys)).drop(*[f"__{k}" for k in keys])
     mode = joint_mode(rows.select("query_id", "slice", "query_norm", *SEARCH), ["query_id", "slice", "query_norm"], SEARCH)
     memory = rest.where("in_corpus").select("query_norm").distinct().withColumn("__m", F.lit(True))
     q = mode.join(memory, "query_norm", "left").withColumn("has_memory", F.coalesce("__m", F.lit(False))).withColumn("has_filter", has_filter(F.col("search_infm_params_text")))
@@ -154,6 +154,12 @@ def halves(queries: DataFrame, seed: int = 42) -> DataFrame:
     return queries.withColumn("half", F.when(place <= F.floor(size / 2), F.lit("A")).otherwise(F.lit("B")))
 
 
+def subset(split: Split, queries: DataFrame) -> Split:
+    """The split with only the queries in ``queries`` (query_id); its rest stays whole."""
+    ids = queries.select("query_id").distinct()
+    return Split(split.queries.join(ids, "query_id", "left_semi"), split.rel.join(ids, "query_id", "left_semi"), split.rest)
+
+
 def digest(rows: DataFrame) -> str:
     """A hash of a table's rows that does not depend on their order."""
     whole = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in sorted(rows.columns)]), 256)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import fusion, metrics
+from .splits import Split, subset
 
 
 def score_params(terms: DataFrame, columns: Sequence[str], weights: Mapping[str, float], queries: DataFrame, rel: DataFrame, k: int = metrics.K) -> float:
@@ -41,7 +42,8 @@ def search(terms: DataFrame, columns: Sequence[str], trials: Sequence[Mapping[st
 def tune_and_check(terms: DataFrame, columns: Sequence[str], trials: Sequence[Mapping[str, float]], halves: DataFrame, rel: DataFrame, k: int = metrics.K) -> dict:
     """The best weights on half A and their recall on half B, beside the first trial's."""
     a, b = (halves.where(F.col("half") == h).drop("half") for h in "AB")
-    pick = lambda q: rel.join(q.select("query_id"), "query_id", "left_semi")
+    whole = Split(halves, rel, rel)
+    pick = lambda q: subset(whole, q).rel
     best, on_a = search(terms, columns, trials, a, pick(a), k)[0]
     on_b = {name: score_params(terms, columns, w, b, pick(b), k) for name, w in (("base", trials[0]), ("best", best))}
     return {"best": best, "half_a": on_a, "half_b": on_b}

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import eda, fusion, history, metrics, pool, priors, splits, tune
+from ..operators import dense, eda, fusion, history, metrics, pool, priors, splits, tune
 from ..sources import tables
 from ..sources.work import keep
 from . import recipe
-from .mapping import FIELDS, KEY_WEIGHTS, KEYS, NOISE, Frames, frames
+from .mapping import FIELDS, KEY_WEIGHTS, KEYS, NOISE, VECTORS, Frames, frames, vectors
 from .registry import register
-from .text_queries import ALL, sql, tfidf_ctes
+from .text_queries import ALL, NORM, sql, tfidf_ctes
 
 W = fusion.WEIGHTS
 N_UNSEEN, N_SEEN, SEED = 20, 10, 42
-CHANNELS = {"final": W, "char": {"char": 1.0}, "word": {"word": 1.0}, "priors": {"loc": 0.067, "mc": 0.012}}
-DEPTH = 20
+#: The fusions' channels, and the pool's: each source with the priors and the filter.
+BASE = {n: W[n] for n in ("loc", "mc", "filter")}
+CHANNELS = {"final": W, "char": {"char": 1.0}, "priors": {"loc": 0.067, "mc": 0.012}} | {f"p_{n}": {n: 1.0} | BASE for n in ("char", "word", "dense")}
+DEPTH = pool.DEPTH
 
 
 def r6(c):
@@ -25,7 +27,7 @@ def r6(c):
 
 def built(spark, sf_dir):
     f = frames(spark, sf_dir)
-    return f, recipe.build(f.train, f.items, f.queries, FIELDS, KEYS, KEY_WEIGHTS, NOISE)
+    return f, recipe.build(f.train, f.items, f.queries, FIELDS, KEYS, KEY_WEIGHTS, NOISE, vectors=vectors(spark, sf_dir, f))
 
 
 # ---- checks, priors ----------------------------------------------------------------------------------------------
@@ -51,12 +53,13 @@ ALL |= {
         JOIN (SELECT DISTINCT item_infm_params_text FROM items) i ON contains(i.item_infm_params_text, q.key || ' ' || q.value) GROUP BY ALL""", ["parsed", "queries", "items"]),
     "memory": ("""SELECT q.query_id, t.item_id, ln(1 + t.n) + ln(1 + coalesce(l.n, 0)) AS s FROM queries q JOIN (SELECT query_norm, item_id, count(*) AS n FROM train WHERE in_corpus GROUP BY ALL) t USING (query_norm)
         LEFT JOIN (SELECT query_norm, item_id, search_location_id, count(*) AS n FROM train WHERE in_corpus GROUP BY ALL) l ON l.query_norm = q.query_norm AND l.item_id = t.item_id AND l.search_location_id = q.search_location_id""", ["queries", "train"]),
+    "vcos": (f"SELECT a.vec_id AS x, b.vec_id AS y, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cos FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id < {VECTORS} AND b.vec_id < {VECTORS}", []),
     "pairs": (f"""SELECT q.query_id, q.query_norm, q.search_location_id AS loc, i.item_id, i.item_location_id AS item_loc, i.item_microcat_id AS item_mc,
-        coalesce(c.cos, 0) AS char, coalesce(w.cos, 0) AS word, coalesce(b.bonus, 0) AS filter, coalesce(l.p, 0) AS loc_p,
+        coalesce(c.cos, 0) AS char, coalesce(w.cos, 0) AS word, v.cos AS dense, coalesce(b.bonus, 0) AS filter, coalesce(l.p, 0) AS loc_p,
         CASE WHEN k.query_norm IS NULL THEN 1.0 / (SELECT count(*) FROM mcs) ELSE coalesce(m.p, 0) END AS mc_p, s.self_share < 0.5 AS is_agg
-        FROM queries q CROSS JOIN items i LEFT JOIN char c ON c.q = q.query_norm AND c.d = i.item_id LEFT JOIN word w ON w.q = q.query_norm AND w.d = i.item_id
+        FROM queries q CROSS JOIN items i JOIN vcos v ON v.x = ('0x' || substr(md5(q.query_norm), 1, 4))::BIGINT % {VECTORS} AND v.y = i.item_vec LEFT JOIN char c ON c.q = q.query_norm AND c.d = i.item_id LEFT JOIN word w ON w.q = q.query_norm AND w.d = i.item_id
         LEFT JOIN bonus b ON b.params = q.search_infm_params_text AND b.item_params = i.item_infm_params_text LEFT JOIN locp l ON l.search_loc = q.search_location_id AND l.item_loc = i.item_location_id
-        LEFT JOIN mcp m ON m.query_norm = q.query_norm AND m.mc = i.item_microcat_id LEFT JOIN (SELECT DISTINCT query_norm FROM mcp) k ON k.query_norm = q.query_norm LEFT JOIN share s ON s.search_loc = q.search_location_id""", ["queries", "items", "char", "word", "bonus", "locp", "mcp", "mcs", "share"]),
+        LEFT JOIN mcp m ON m.query_norm = q.query_norm AND m.mc = i.item_microcat_id LEFT JOIN (SELECT DISTINCT query_norm FROM mcp) k ON k.query_norm = q.query_norm LEFT JOIN share s ON s.search_loc = q.search_location_id""", ["queries", "items", "vcos", "char", "word", "bonus", "locp", "mcp", "mcs", "share"]),
 }
 
 
@@ -74,7 +77,8 @@ def top_sql(weights, k, masked=None):
 
 
 for _n, _w in CHANNELS.items():
-    ALL[f"top_{_n}"] = (top_sql(_w, 50), ["pairs"])
+    ALL[f"deep_{_n}"] = (top_sql(_w, DEPTH), ["pairs"])
+    ALL[f"top_{_n}"] = (f"SELECT * FROM deep_{_n} WHERE rank <= 50", [f"deep_{_n}"])
 
 
 def ranks(top):
@@ -178,6 +182,29 @@ def doc_expansion(spark, sf_dir):
     return history.expansion_texts(f.train, f.items)
 
 
+ALL["expanded"] = ("SELECT i.item_id, coalesce(string_agg(query_norm, ' ' ORDER BY r), '') AS text FROM items i LEFT JOIN topq USING (item_id) GROUP BY i.item_id", ["items", "topq"])
+ALL["titles"] = ("SELECT item_id, " + NORM.format("item_title_raw") + " AS text FROM items", ["items"])
+ALL |= tfidf_ctes("xword", "expanded", "item_id", "text", "qtexts", "query_norm", "query_norm", "word", 1, 2)
+ALL |= tfidf_ctes("tchar", "titles", "item_id", "text", "qtexts", "query_norm", "query_norm", "char", 3, 5)
+
+
+def _source(spark, sf_dir, name, analyzer, docs):
+    """A further lexical term of the recipe."""
+    f = frames(spark, sf_dir)
+    b = recipe.build(f.train, f.items, f.queries, FIELDS, KEYS, KEY_WEIGHTS, NOISE, sources={name: (analyzer, docs(f))})
+    return b.components.pairs[name].join(f.queries.select("query_id"), "query_id").select("query_id", "item_id", r6(name).alias("cos"))
+
+
+@register("expansion_source", sql("SELECT query_id, d AS item_id, round(cos, 6) AS cos FROM xword JOIN queries ON q = query_norm", "xword", "queries"))
+def expansion_source(spark, sf_dir):
+    return _source(spark, sf_dir, "expansion", "word", lambda f: history.expansion_texts(f.train, f.items).withColumnRenamed("expansion", "text"))
+
+
+@register("title_source", sql("SELECT query_id, d AS item_id, round(cos, 6) AS cos FROM tchar JOIN queries ON q = query_norm", "tchar", "queries"))
+def title_source(spark, sf_dir):
+    return _source(spark, sf_dir, "title", "char", lambda f: f.items.select("item_id", tx.doc_text([{"col": "item_title_raw"}]).alias("text")))
+
+
 @register("train_pairs", sql("SELECT query_norm, item_id, min(search_query) AS query FROM train WHERE query_norm <> '' GROUP BY ALL", "train"))
 def train_pairs(spark, sf_dir):
     return history.train_pairs(frames(spark, sf_dir).train)
@@ -211,7 +238,7 @@ ALL["knn"] = ("""SELECT vec_id, other, sim, r FROM (SELECT *, row_number() OVER
 
 
 def _knn(spark, sf_dir):
-    return history.knn(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 5, 0.2)
+    return dense.knn(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 5, 0.2)
 
 
 @register("graph_knn", sql("SELECT vec_id, other, round(sim, 6) AS sim, r FROM knn", "knn"))
@@ -226,24 +253,22 @@ def graph_expansion(spark, sf_dir):
 
 
 @register("dense_topk", sql("""SELECT query_id, item_id, rank, round(cos, 6) AS cos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round_even(cos, 5) DESC, item_id) AS rank FROM
-    (SELECT a.label AS query_id, b.vec_id AS item_id, list_cosine_similarity(a.e, b.embedding::DOUBLE[]) AS cos FROM (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS e FROM embeddings GROUP BY label) a CROSS JOIN embeddings b)) WHERE rank <= 50"""))
+    (SELECT a.vec_id AS query_id, b.vec_id AS item_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cos FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 50 = 0)) WHERE rank <= 50"""))
 def dense_topk(spark, sf_dir):
-    """Queries: the first vector of each label, against all vectors."""
-    from ..operators import dense
-
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    q = e.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    """Queries: every vector whose id is divisible by 50, against all vectors."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    q = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
     return dense.topk(q, e.withColumnRenamed("vec_id", "item_id"), 50).select("query_id", "item_id", F.col("rank").cast("long").alias("rank"), r6("cos").alias("cos"))
 
 
 # ---- fusion ------------------------------------------------------------------------------------------------------
 
 
-@register("linear_fusion", sql(f"SELECT query_id, count(*) AS n, round(sum(s), 3) AS total, round(max(s), 6) AS best FROM (SELECT query_id, {score_sql(W)} AS s FROM pairs) GROUP BY query_id", "pairs"))
+@register("linear_fusion", sql(f"SELECT query_id, count(*) AS n, round(sum(s), 3) AS total, max(round_even(s, 5)) AS best FROM (SELECT query_id, {score_sql(W)} AS s FROM pairs) GROUP BY query_id", "pairs"))
 def linear_fusion(spark, sf_dir):
     _, b = built(spark, sf_dir)
-    s = fusion.score_pairs(fusion.all_pairs(b.components), b.components, W)
-    return s.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 3).alias("total"), r6(F.max("score")).alias("best"))
+    best = fusion.topk_linear(b.components, W, 1).select("query_id", F.bround("score", 5).alias("best"))
+    return fusion.totals(b.components, W).join(best, "query_id").select("query_id", "n", F.round("total", 3).alias("total"), "best")
 
 
 @register("topk_linear", sql("SELECT query_id, item_id, rank, round(score, 6) AS score FROM top_final", "top_final"))
@@ -267,12 +292,12 @@ def loc_mask(spark, sf_dir):
     return fusion.topk_linear(b.components, W, 10, loc_min_p=0.01).select("query_id", "item_id", F.col("rank").cast("long").alias("rank"), r6("score").alias("score"))
 
 
-@register("explain_contrib", sql(f"""SELECT query_id, item_id, round({W['char']} * char, 6) AS c_char, round({W['word']} * word, 6) AS c_word, round({W['filter']} * filter, 6) AS c_filter,
-    round({W['loc']} * ln(loc_p + {fusion.LOC_EPS}), 6) AS c_loc, round({W['mc']} * ln(mc_p + {fusion.MC_EPS}), 6) AS c_mc, round({score_sql(W)}, 6) AS score FROM pairs SEMI JOIN (SELECT * FROM top_final WHERE rank <= 10) USING (query_id, item_id)""", "pairs", "top_final"))
+@register("explain_contrib", sql(f"""SELECT query_id, item_id, round({W['char']} * char, 6) AS c_char, round({W['word']} * word, 6) AS c_word, round({W['dense']} * dense, 6) AS c_dense, round({W['filter']} * filter, 6) AS c_filter,
+    round({W['loc']} * ln(loc_p + {fusion.LOC_EPS}), 6) AS c_loc, round({W['mc']} * ln(mc_p + {fusion.MC_EPS}), 6) AS c_mc, round({score_sql(W)}, 6) AS score FROM pairs JOIN (SELECT query_id, item_id FROM ({top_sql(W, 10)})) USING (query_id, item_id)""", "pairs"))
 def explain_contrib(spark, sf_dir):
     _, b = built(spark, sf_dir)
     e = fusion.explain(fusion.topk_linear(b.components, W, 10), b.components, W)
-    return e.select("query_id", "item_id", *[r6(c).alias(c) for c in ("c_char", "c_word", "c_filter", "c_loc", "c_mc", "score")])
+    return e.select("query_id", "item_id", *[r6(c).alias(c) for c in ("c_char", "c_word", "c_dense", "c_filter", "c_loc", "c_mc", "score")])
 
 
 def _tops(spark, sf_dir, names, depth=50):
@@ -336,8 +361,8 @@ def answer_validate(spark, sf_dir):
 
 # ---- pools and features ------------------------------------------------------------------------------------------
 
-POOLED = ("final", "char", "word")
-ALL["pool"] = ("SELECT query_id, item_id, " + ", ".join(f"coalesce(min(rank) FILTER (c = '{n}'), {DEPTH + 1}) AS rank_{n}" for n in POOLED) + " FROM (" + " UNION ALL ".join(f"SELECT query_id, item_id, '{n}' AS c, rank FROM top_{n} WHERE rank <= {DEPTH}" for n in POOLED) + ") GROUP BY ALL", [f"top_{n}" for n in POOLED])
+POOLED = ("final", "p_char", "p_word", "p_dense")
+ALL["pool"] = ("SELECT query_id, item_id, " + ", ".join(f"coalesce(min(rank) FILTER (c = '{n}'), {DEPTH + 1}) AS rank_{n}" for n in POOLED) + " FROM (" + " UNION ALL ".join(f"SELECT query_id, item_id, '{n}' AS c, rank FROM deep_{n}" for n in POOLED) + ") GROUP BY ALL", [f"deep_{n}" for n in POOLED])
 
 
 def _pool(spark, sf_dir):
@@ -351,10 +376,10 @@ def pool_union(spark, sf_dir):
     return p.select("query_id", "item_id", *[F.col(f"rank_{n}").cast("long").alias(f"rank_{n}") for n in POOLED])
 
 
-FEATURES = ("char", "word", "filter", "loc_p", "mc_p", "loc_logp", "mc_logp", "final", "final_gap", "same_loc", "q_pool_size")
+FEATURES = ("char", "word", "dense", "filter", "loc_p", "mc_p", "loc_logp", "mc_logp", "final", "final_gap", "same_loc", "q_pool_size")
 
 
-@register("pool_features", sql(f"""SELECT query_id, item_id, {', '.join(f'round_even({c}::DOUBLE, 4) AS {c}' for c in FEATURES)}, rank_final, rank_char, rank_word FROM
+@register("pool_features", sql(f"""SELECT query_id, item_id, {', '.join(f'round_even({c}::DOUBLE, 4) AS {c}' for c in FEATURES)}, {', '.join(f'rank_{n}' for n in POOLED)} FROM
     (SELECT p.*, f.*  EXCLUDE (query_id, item_id), final - max(final) OVER (PARTITION BY p.query_id) AS final_gap, count(*) OVER (PARTITION BY p.query_id) AS q_pool_size FROM pool p JOIN
      (SELECT *, {score_sql(W)} AS final, ln(loc_p + {fusion.LOC_EPS}) AS loc_logp, ln(mc_p + {fusion.MC_EPS}) AS mc_logp, CASE WHEN loc = item_loc THEN 1 ELSE 0 END AS same_loc FROM pairs) f USING (query_id, item_id))""", "pool", "pairs"))
 def pool_features(spark, sf_dir):
@@ -394,6 +419,35 @@ def rank_top(spark, sf_dir):
     return ranks(pool.top_by_model(p.join(f.items.select("item_id", F.col("item_price").alias("prediction")), "item_id"), 10))
 
 
+ALL["clicked"] = ("SELECT DISTINCT query_id, item_id FROM train JOIN queries USING (query_norm, search_location_id)", ["train", "queries"])
+
+
+@register("pool_labels", sql(f"SELECT p.query_id, p.item_id, {', '.join(f'rank_{n}' for n in POOLED if n != 'p_word')}, (c.item_id IS NOT NULL)::INT AS label FROM pool p LEFT JOIN clicked c ON p.query_id = c.query_id AND p.item_id = c.item_id", "pool", "clicked"))
+def pool_labels(spark, sf_dir):
+    f, _, p = _pool(spark, sf_dir)
+    rel = f.train.join(f.queries.select("query_id", "query_norm", "search_location_id"), ["query_norm", "search_location_id"]).select("query_id", "item_id")
+    x = pool.drop_features(pool.labelled(p, rel), ("rank_p_word", "not_there"))
+    return x.select("query_id", "item_id", *[F.col(f"rank_{n}").cast("long").alias(f"rank_{n}") for n in POOLED if n != "p_word"], F.col("label").cast("int").alias("label"))
+
+
+# a price stands for a model's score
+@register("model_then_linear", sql("""SELECT query_id, item_id, rank FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM (SELECT query_id, item_id, min(place) AS place FROM
+    (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY item_price DESC, item_id) AS place FROM pool JOIN items USING (item_id) QUALIFY place <= 5 UNION ALL SELECT query_id, item_id, 1000 + rank FROM top_final) GROUP BY ALL)) WHERE rank <= 20""", "pool", "items", "top_final"))
+def model_then_linear(spark, sf_dir):
+    f, b, p = _pool(spark, sf_dir)
+    model = pool.top_by_model(p.join(f.items.select("item_id", F.col("item_price").alias("prediction")), "item_id"), 5)
+    return ranks(pool.to_candidates(model, fusion.topk_linear(b.components, W, 50), 20))
+
+
+@register("main_source", sql(f"""SELECT query_id, item_id, CASE WHEN a >= greatest(b, c) THEN 'char' WHEN b >= c THEN 'word' ELSE 'dense' END AS main FROM
+    (SELECT query_id, item_id, round({W['char']} * char, 6) AS a, round({W['word']} * word, 6) AS b, round({W['dense']} * dense, 6) AS c FROM pairs JOIN (SELECT query_id, item_id FROM ({top_sql(W, 10)})) USING (query_id, item_id))""", "pairs"))
+def main_source(spark, sf_dir):
+    _, b = built(spark, sf_dir)
+    e = fusion.explain(fusion.topk_linear(b.components, W, 10), b.components, W)
+    e = e.select("query_id", "item_id", *[r6(f"c_{n}").alias(n) for n in ("char", "word", "dense")])
+    return e.select("query_id", "item_id", pool.main_source(("char", "word", "dense")).alias("main"))
+
+
 # ---- splits ------------------------------------------------------------------------------------------------------
 
 _KEY = lambda cols: f"md5(concat_ws('|', '{SEED}', {', '.join(f'''coalesce(CAST({c} AS STRING), '<null>')''' for c in cols)}))"
@@ -635,6 +689,11 @@ def eda_filter_keys(spark, sf_dir):
     return x.select("key", "n", *[r6(c).alias(c) for c in ("share", "pair_rate", "value_rate")])
 
 
+@register("eda_unknown_prefix", sql("SELECT round(avg((NOT (starts_with(search_infm_params_text, 'Brand') OR starts_with(search_infm_params_text, 'Size')))::INT), 6) AS unknown_share FROM train WHERE trim(search_infm_params_text) <> ''", "train"))
+def eda_unknown_prefix(spark, sf_dir):
+    return eda.unknown_prefix_share(frames(spark, sf_dir).train, ("Brand", "Size")).select(r6("unknown_share").alias("unknown_share"))
+
+
 @register("eda_main_mc_share", sql("SELECT round(sum(top) / sum(n), 6) AS micro, round(avg(top / n), 6) AS macro FROM (SELECT query_norm, max(n) AS top, sum(n) AS n FROM (SELECT query_norm, item_microcat_id, count(*) AS n FROM train GROUP BY ALL) GROUP BY 1)", "train"))
 def eda_main_mc_share(spark, sf_dir):
     x = eda.main_category_share(frames(spark, sf_dir).train)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import doc_text
 from ..operators import fusion, history, lexical, priors
 from ..operators.fusion import Components
+from ..sources.tables import cached
 from ..sources.work import keep
 
 
@@ -32,8 +33,13 @@ def indexed(items: DataFrame) -> DataFrame:
     return items.withColumn("idx", F.col("item_id"))
 
 
-def build(train: DataFrame, items: DataFrame, queries: DataFrame, fields: Sequence[dict], keys: Sequence[str], key_weights: Mapping[str, float], noise: Sequence[str] = (), fallback: str = "self", match: str = "pair", memory_bonus: float = 1.0) -> Built:
-    """All components for ``queries`` from the slice ``train``."""
+def build(train: DataFrame, items: DataFrame, queries: DataFrame, fields: Sequence[dict], keys: Sequence[str], key_weights: Mapping[str, float], noise: Sequence[str] = (), fallback: str = "self", match: str = "pair", memory_bonus: float = 1.0, vectors: tuple[DataFrame, DataFrame] | None = None, sources: Mapping[str, tuple[str, DataFrame]] | None = None, cache: tuple[str, object] | None = None) -> Built:
+    """All components for ``queries`` from the slice ``train``.
+
+    ``vectors``: of texts (query_norm, vec) and items (item_id, vec). ``sources``: further lexical terms by name, as (analyzer,
+    documents (item_id, text)): titles alone, or texts expanded by clicks or by a graph, each with an idf of its own.
+    ``cache``: a folder and what the cosines depend on (data and settings); cosines made under it before are read.
+    """
     train = train.select("query_norm", "search_location_id", "item_location_id", "item_microcat_id", "item_id")
     train, items, queries = keep(train), keep(items), keep(queries)
     it = indexed(items)
@@ -49,15 +55,16 @@ def build(train: DataFrame, items: DataFrame, queries: DataFrame, fields: Sequen
     n_docs = docs.count()
     filters = keep(priors.filter_bonus(q.select("params"), i.select("item_params"), keys, key_weights, match))
     pairs = {}
-    for name in ("char", "word"):
+    for name, (analyzer, own) in ({"char": ("char", docs), "word": ("word", docs)} | dict(sources or {})).items():
         # distinct query texts meet the corpus once, however many queries share them
-        cos = keep(lexical.text_cosine(texts, docs, "query_norm", "query_norm", "item_id", "text", name, n_docs))
+        made = lambda own=own, analyzer=analyzer: lexical.text_cosine(texts, own, "query_norm", "query_norm", "item_id", "text", analyzer, n_docs)
+        cos = keep(made()) if cache is None else cached(texts.sparkSession, cache[0], f"cos-{name}", [cache[1], analyzer], made)
         pairs[name] = q.select("query_id", "query_norm").join(cos.withColumnRenamed("q", "query_norm"), "query_norm").select("query_id", F.col("d").alias("item_id"), F.col("cos").alias(name))
     pairs["filter"] = q.select("query_id", "params").join(filters, "params").join(i.select("item_id", "item_params"), "item_params").select("query_id", "item_id", F.col("bonus").alias("filter"))
     pairs["memory"] = history.memory_scores(queries, train, items, memory_bonus).withColumnRenamed("s", "memory")
     loc_p = keep(priors.location_prior(counts, q_locs, i_locs, fallback))
     mc_p = keep(priors.category_prior(texts, keep(priors.category_distribution(train, mcs))))
-    c = Components(q, i, loc_p, mc_p, mcs.count(), pairs)
+    c = Components(q, i, loc_p, mc_p, mcs.count(), pairs, tuple(keep(v) for v in vectors) if vectors else None)
     return Built(c, counts, priors.location_centroids(items, counts), shares, filters)
 
 

@@ -11,7 +11,7 @@ from .mapping import CTES, FIELDS, KEYS, NOISE, frames, with_ctes
 from .registry import register
 
 NORM = "trim(regexp_replace(replace(lower(coalesce({0}, '')), 'ё', 'е'), '[^0-9a-zа-я]+', ' ', 'g'))"
-DOC_PARTS = "concat_ws(' ', item_title_raw, item_title_raw, regexp_replace(regexp_replace(item_infm_params_text, 'Size [0-9]+', ' ', 'g'), 'Brand#1[0-9]', ' ', 'g'), substr(coalesce(item_description_raw, ''), 1, 40))"
+DOC_PARTS = "concat_ws(' ', item_title_raw, item_title_raw, regexp_replace(regexp_replace(item_infm_params_text, 'Size [0-9]+', ' ', 'g'), 'Brand#1[0-9]', ' ', 'g'), coalesce(item_description_raw, ''))"
 
 
 def grams_sql(rows: str, row_id: str, text: str, kind: str, low: int, high: int) -> str:
@@ -94,9 +94,9 @@ def doc_text_build(spark, sf_dir):
     return frames(spark, sf_dir).items.select("item_id", tx.doc_text(FIELDS, NOISE).alias("text"))
 
 
-@register("doc_text_raw", sql("SELECT item_id, trim(concat_ws('. ', item_title_raw, substr(coalesce(item_description_raw, ''), 1, 40)), ' .') AS text FROM items", "items"))
+@register("doc_text_raw", sql("SELECT item_id, trim(concat_ws('. ', item_title_raw, coalesce(item_description_raw, '')), ' .') AS text FROM items", "items"))
 def doc_text_raw(spark, sf_dir):
-    fields = ({"col": "item_title_raw"}, {"col": "item_description_raw", "max_chars": 40})
+    fields = ({"col": "item_title_raw"}, {"col": "item_description_raw"})
     return frames(spark, sf_dir).items.select("item_id", tx.raw_doc_text(fields).alias("text"))
 
 
@@ -147,7 +147,7 @@ def term_counts(spark, sf_dir):
 @register("tfidf_idf", sql("SELECT term, df, round(idf, 6) AS idf FROM bword_idf", "bword_idf"))
 def tfidf_idf(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    return lexical.fit_idf(lexical.term_counts(d, "doc_id", tx.word_ngrams(F.col("text"))), d.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.fit_idf(lexical.document_terms(d, "doc_id", tx.word_ngrams(F.col("text"))), d.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @register("tfidf_weights", sql("SELECT id AS doc_id, count(*) AS terms, round(sum(w), 5) AS total, round(max(w), 6) AS top FROM bword_dw GROUP BY id", "bword_dw"))
@@ -162,7 +162,7 @@ def tfidf_weights(spark, sf_dir):
 def tfidf_query(spark, sf_dir):
     d = _docs(spark, sf_dir)
     n = d.count()
-    idf = lexical.fit_idf(lexical.term_counts(d, "doc_id", tx.word_ngrams(F.col("text"))), n)
+    idf = lexical.fit_idf(lexical.document_terms(d, "doc_id", tx.word_ngrams(F.col("text"))), n)
     w = lexical.weights(lexical.term_counts(_bench(spark, sf_dir), "item_id", tx.word_ngrams(F.col("text"))), idf, n)
     return w.select(F.col("id").alias("item_id"), "term", F.round("w", 6).alias("w"))
 

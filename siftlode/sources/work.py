@@ -5,16 +5,43 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` written below ``spark.checkpoint.dir`` and read back: its plan is a scan, and a lost executor costs a reread.
+#: Setting under which a query's shuffle files are deleted at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
-    Where the session names no such folder, one below the temporary folder is used (tests, a single machine).
+def folder(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``.
+
+    Where the session names none, one below the temporary folder is used if the master is local (tests, a single
+    machine); a cluster must name one.
     """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + os.path.join(os.environ.get("TMPDIR", "/tmp"), "checkpoints")
+    return f"{base.rstrip('/')}/siftlode-{spark.sparkContext.applicationId}"
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` written below ``spark.checkpoint.dir`` and read back: its plan is a scan, and a lost executor costs a reread. The
+    shuffles behind it leave the disks when it is written."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(os.environ.get("TMPDIR", "/tmp"), "checkpoints")
-    path = f"{base.rstrip('/')}/siftlode-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has kept; results not yet computed need them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
