@@ -66,12 +66,12 @@ def query_features(queries: DataFrame, train: DataFrame, mc_p: DataFrame, n_mc:
 def pair_features(pool: DataFrame, c: Components, weights: Mapping[str, float], centroids: DataFrame | None = None, filter_keys: Sequence[str] = (), filter_hits: DataFrame | None = None) -> DataFrame:
     """``pool`` with raw term scores, loc_p, mc_p, loc_logp, mc_logp, filter_<key> flags, final, final_gap, same_loc,
     dist_km and q_pool_size."""
-    s = fusion.score_pairs(pool, c, {**{n: 1e-300 for n in c.pairs}, **weights}).withColumnRenamed("score", "final")
+    s = fusion.score_pairs(pool, c, {**{n: 1e-300 for n in fusion.named(c)}, **weights}).withColumnRenamed("score", "final")
     by_query = Window.partitionBy("query_id")
     s = s.withColumn("final_gap", F.col("final") - F.max("final").over(by_query)).withColumn("q_pool_size", F.count(F.lit(1)).over(by_query).cast("double"))
     s = s.withColumn("loc_logp", F.log(F.col("loc_p") + fusion.LOC_EPS)).withColumn("mc_logp", F.log(F.col("mc_p") + fusion.MC_EPS))
     s = s.withColumn("same_loc", F.coalesce((F.col("loc") == F.col("item_loc")).cast("double"), F.lit(0.0)))
-    for n in c.pairs:
+    for n in fusion.named(c):
         s = s.withColumn(n, F.coalesce(F.col(n), F.lit(0.0)))
     if centroids is not None:
         a = centroids.select(F.col("loc"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import dense, eda, fusion, history, metrics, pool, priors, splits, tune
 from ..sources import tables
-from ..sources.work import keep
+from ..sources.work import keep, together
 from . import recipe
-from .mapping import FIELDS, KEY_WEIGHTS, KEYS, NOISE, VECTORS, Frames, frames, vectors
+from .mapping import FIELDS, KEY_WEIGHTS, KEYS, NOISE, VECTORS, Frames, frames, queries_of, vectors
 from .registry import register
 from .text_queries import ALL, NORM, sql, tfidf_ctes
 
@@ -27,6 +27,9 @@ def r6(c):
 
 def built(spark, sf_dir):
     f = frames(spark, sf_dir)
+    train = keep(f.train)
+    items, queries = together(lambda: keep(f.items), lambda: keep(queries_of(train)))
+    f = Frames(train, items, queries)
     return f, recipe.build(f.train, f.items, f.queries, FIELDS, KEYS, KEY_WEIGHTS, NOISE, vectors=vectors(spark, sf_dir, f))
 
 
@@ -192,7 +195,7 @@ def _source(spark, sf_dir, name, analyzer, docs):
     """A further lexical term of the recipe."""
     f = frames(spark, sf_dir)
     b = recipe.build(f.train, f.items, f.queries, FIELDS, KEYS, KEY_WEIGHTS, NOISE, sources={name: (analyzer, docs(f))})
-    return b.components.pairs[name].join(f.queries.select("query_id"), "query_id").select("query_id", "item_id", r6(name).alias("cos"))
+    return b.components.texts[name].join(f.queries.select("query_id", "query_norm"), "query_norm").select("query_id", "item_id", r6(name).alias("cos"))
 
 
 @register("expansion_source", sql("SELECT query_id, d AS item_id, round(cos, 6) AS cos FROM xword JOIN queries ON q = query_norm", "xword", "queries"))

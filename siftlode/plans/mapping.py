@@ -68,9 +68,13 @@ def frames(spark: SparkSession, sf_dir: str) -> Frames:
     ids = items.select("item_id").withColumn("in_corpus", F.lit(True))
     train = session.sql(SQL["train"]).withColumn("query_norm", normalize(F.col("search_query")))
     train = train.join(ids, "item_id", "left").withColumn("in_corpus", F.coalesce("in_corpus", F.lit(False)))
+    return Frames(train, items, queries_of(train))
+
+
+def queries_of(train: DataFrame) -> DataFrame:
+    """All contexts of the log."""
     q = train.groupBy("query_norm", "search_location_id").agg(F.min("search_query").alias("search_query"), F.max("search_infm_params_text").alias("search_infm_params_text"), F.max("search_is_delivery_search").alias("search_is_delivery_search"), F.min("search_category").alias("search_category"))
-    queries = q.withColumn("query_id", F.substring(F.md5(F.concat_ws("|", "query_norm", F.col("search_location_id").cast("string"))), 1, 16))
-    return Frames(train, items, queries)
+    return q.withColumn("query_id", F.substring(F.md5(F.concat_ws("|", "query_norm", F.col("search_location_id").cast("string"))), 1, 16))
 
 
 def vectors(spark: SparkSession, sf_dir: str, f: Frames) -> tuple[DataFrame, DataFrame]:

@@ -16,7 +16,7 @@ from ..functions.text import doc_text
 from ..operators import fusion, history, lexical, priors
 from ..operators.fusion import Components
 from ..sources.tables import cached
-from ..sources.work import keep
+from ..sources.work import keep, together
 
 
 @dataclass(frozen=True)
@@ -40,36 +40,56 @@ def build(train: DataFrame, items: DataFrame, queries: DataFrame, fields: Sequen
     documents (item_id, text)): titles alone, or texts expanded by clicks or by a graph, each with an idf of its own.
     ``cache``: a folder and what the cosines depend on (data and settings); cosines made under it before are read.
     """
-    train = train.select("query_norm", "search_location_id", "item_location_id", "item_microcat_id", "item_id")
-    train, items, queries = keep(train), keep(items), keep(queries)
+    clicks = train.select("query_norm", "search_location_id", "item_location_id", "item_microcat_id", "item_id")
+    corpus, asked = items, queries
+    train, items, queries = together(lambda: keep(clicks), lambda: keep(corpus), lambda: keep(asked))
     it = indexed(items)
     q_locs, i_locs = queries.select(F.col("search_location_id").alias("search_loc")).distinct(), items.select(F.col("item_location_id").alias("item_loc")).distinct()
-    counts = keep(priors.location_counts(train))
-    shares = keep(priors.self_share(counts, q_locs, i_locs))
     mcs = items.select(F.col("item_microcat_id").alias("mc")).where("mc is not null").distinct()
-    texts = keep(queries.select("query_norm").distinct())
-    q = queries.join(shares.select(F.col("search_loc").alias("search_location_id"), "is_agg"), "search_location_id", "left").select("query_id", "query_norm", F.col("search_location_id").alias("loc"), F.coalesce("search_infm_params_text", F.lit("")).alias("params"), F.coalesce("is_agg", F.lit(True)).alias("is_agg"))
-    q = keep(q)
     i = it.select("item_id", "idx", F.col("item_location_id").alias("loc"), F.col("item_microcat_id").alias("mc"), F.coalesce("item_infm_params_text", F.lit("")).alias("item_params"))
-    docs = keep(items.select("item_id", doc_text(fields, noise).alias("text")))
+    listed = i
+    counts, texts, docs, i, dist, n_mc = together(
+        lambda: keep(priors.location_counts(train)),
+        lambda: keep(queries.select("query_norm").distinct()),
+        lambda: keep(items.select("item_id", doc_text(fields, noise).alias("text"))),
+        lambda: keep(listed),
+        lambda: keep(priors.category_distribution(train, mcs)),
+        mcs.count,
+    )
     n_docs = docs.count()
-    filters = keep(priors.filter_bonus(q.select("params"), i.select("item_params"), keys, key_weights, match))
-    pairs = {}
-    for name, (analyzer, own) in ({"char": ("char", docs), "word": ("word", docs)} | dict(sources or {})).items():
+
+    def contexts() -> tuple[DataFrame, DataFrame, DataFrame]:
+        shares = keep(priors.self_share(counts, q_locs, i_locs))
+        q = queries.join(shares.select(F.col("search_loc").alias("search_location_id"), "is_agg"), "search_location_id", "left").select("query_id", "query_norm", F.col("search_location_id").alias("loc"), F.coalesce("search_infm_params_text", F.lit("")).alias("params"), F.coalesce("is_agg", F.lit(True)).alias("is_agg"))
+        q = keep(q)
+        return shares, q, keep(priors.filter_bonus(q.select("params"), i.select("item_params"), keys, key_weights, match))
+
+    lexicals = {"char": ("char", docs), "word": ("word", docs)} | dict(sources or {})
+
+    def cosines(name: str) -> DataFrame:
         # distinct query texts meet the corpus once, however many queries share them
-        made = lambda own=own, analyzer=analyzer: lexical.text_cosine(texts, own, "query_norm", "query_norm", "item_id", "text", analyzer, n_docs)
+        analyzer, own = lexicals[name]
+        made = lambda: lexical.text_cosine(texts, own, "query_norm", "query_norm", "item_id", "text", analyzer, n_docs)
         cos = keep(made()) if cache is None else cached(texts.sparkSession, cache[0], f"cos-{name}", [cache[1], analyzer], made)
-        pairs[name] = q.select("query_id", "query_norm").join(cos.withColumnRenamed("q", "query_norm"), "query_norm").select("query_id", F.col("d").alias("item_id"), F.col("cos").alias(name))
-    pairs["filter"] = q.select("query_id", "params").join(filters, "params").join(i.select("item_id", "item_params"), "item_params").select("query_id", "item_id", F.col("bonus").alias("filter"))
-    pairs["memory"] = history.memory_scores(queries, train, items, memory_bonus).withColumnRenamed("s", "memory")
-    loc_p = keep(priors.location_prior(counts, q_locs, i_locs, fallback))
-    mc_p = keep(priors.category_prior(texts, keep(priors.category_distribution(train, mcs))))
-    c = Components(q, i, loc_p, mc_p, mcs.count(), pairs, tuple(keep(v) for v in vectors) if vectors else None)
+        return cos.select(F.col("q").alias("query_norm"), F.col("d").alias("item_id"), F.col("cos").alias(name))
+
+    def vectored() -> tuple[DataFrame, ...] | None:
+        return tuple(keep(v) for v in vectors) if vectors else None
+
+    (shares, q, filters), loc_p, mc_p, dense, *cos = together(
+        contexts,
+        lambda: keep(priors.location_prior(counts, q_locs, i_locs, fallback)),
+        lambda: keep(priors.category_prior(texts, dist)),
+        vectored,
+        *[lambda n=n: cosines(n) for n in lexicals],
+    )
+    pairs = {"memory": history.memory_scores(queries, train, items, memory_bonus).withColumnRenamed("s", "memory")}
+    c = Components(q, i, loc_p, mc_p, n_mc, dict(zip(lexicals, cos, strict=True)), pairs, filters, dense)
     return Built(c, counts, priors.location_centroids(items, counts), shares, filters)
 
 
 
-
 def rank_channels(c: Components, channels: Mapping[str, Mapping[str, float]], depth: int) -> dict[str, DataFrame]:
     """Each channel's ranking to ``depth``, by its own weights, written once."""
-    return {n: keep(fusion.topk_linear(c, w, depth)) for n, w in channels.items()}
+    made = together(*[lambda w=w: keep(fusion.topk_linear(c, w, depth)) for w in channels.values()])
+    return dict(zip(channels, made, strict=True))

@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 import os
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 #: Setting under which a query's shuffle files are deleted at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -27,17 +35,39 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/siftlode-{spark.sparkContext.applicationId}"
 
 
+_lock, _open = threading.Lock(), [0, None]
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """The setting, as long as any thread writes a table."""
+    with _lock:
+        if not _open[0]:
+            _open[1] = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _open[0] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _open[0] -= 1
+            if not _open[0]:
+                spark.conf.unset(CLEANUP) if _open[1] is None else spark.conf.set(CLEANUP, _open[1])
+
+
+def together(*makers: Callable[[], T], at_once: int = 4) -> list[T]:
+    """Results of independent makers of tables, some of which run at the same time: small jobs then fill the cluster."""
+    with ThreadPoolExecutor(at_once) as threads:
+        return [f.result() for f in [threads.submit(inheritable_thread_target(m)) for m in makers]]
+
+
 def keep(df: DataFrame) -> DataFrame:
     """``df`` written below ``spark.checkpoint.dir`` and read back: its plan is a scan, and a lost executor costs a reread. The
     shuffles behind it leave the disks when it is written."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -210,7 +210,7 @@ def test_new_parameters_of_the_priors(small):
 
 def test_cached_cosines_are_read(spark, small, tmp_path):
     it, tr, q, _ = small
-    make = lambda: recipe.build(tr, it, q, [{"col": "item_title_raw"}], ["Type"], {"Type": 1.0}, cache=(f"file://{tmp_path}", {"data": 1})).components.pairs["char"]
+    make = lambda: recipe.build(tr, it, q, [{"col": "item_title_raw"}], ["Type"], {"Type": 1.0}, cache=(f"file://{tmp_path}", {"data": 1})).components.texts["char"]
     first = sorted(map(str, make().collect()))
     files = sorted(map(str, tmp_path.rglob("*.parquet")))
     assert sorted(map(str, make().collect())) == first and sorted(map(str, tmp_path.rglob("*.parquet"))) == files and len(list(tmp_path.iterdir())) == 2
