@@ -24,6 +24,8 @@ MIN_CHARS = 1
 LG_K = 12
 #: Estimates within this share of the threshold, and at least 1, are near it: over five standard errors of a sketch.
 NEAR = 0.1
+#: Files of the table of lines near or above the threshold.
+FILES = 16
 
 
 def _lines(text: Column) -> Column:
@@ -43,7 +45,9 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, m
     """
     spread = _hashes(docs, min_chars, F.xxhash64("site").alias("site")).groupBy("h").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"))
     slack = max(1.0, NEAR * min_sites)
-    wide = materialise(spread.select("h", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites - slack))
+    wide = spread.select("h", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites - slack)
+    # a small share of all lines, of 16 bytes each
+    wide = materialise(wide.repartition(FILES))
     near = wide.where(F.col("sites") <= min_sites + slack).select("h")
     n = near.count()
     exact = _hashes(docs, min_chars, F.xxhash64("site").alias("site")).join(maybe_broadcast(near, n), "h", "left_semi").groupBy("h").agg(F.countDistinct("site").alias("sites"))
@@ -60,12 +64,12 @@ def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(site).alias("site"))
     least = max(1, min_chars)
-    bad = materialise(boilerplate(d, min_sites, min_chars=least).select("h"))
+    bad = materialise(boilerplate(d, min_sites, min_chars=least).select("h").repartition(FILES))
     # sets of hashes depend on the text alone, so documents with equal texts share one, whatever their ids
     _, near = part_by_ids(_hashes(d, least, F.xxhash64("text").alias("k")), "h", bad, "h")
     own = near.distinct().join(bad, "h", "left_semi").groupBy("k").agg(F.collect_set("h").alias("bad"))
     # as a table, so that the join below is free to split a text that very many documents share
-    own = materialise(own)
+    own = materialise(own, rows=d.count())
     whole = d.select("doc_id", "text", F.xxhash64("text").alias("k"))
     stays, may = part_by_ids(whole, "k", own, "k")
     lines = _lines(F.col("text"))
