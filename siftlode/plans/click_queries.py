@@ -382,7 +382,7 @@ def pool_union(spark, sf_dir):
 FEATURES = ("char", "word", "dense", "filter", "loc_p", "mc_p", "loc_logp", "mc_logp", "final", "final_gap", "same_loc", "q_pool_size")
 
 
-@register("pool_features", sql(f"""SELECT query_id, item_id, {', '.join(f'round_even({c}::DOUBLE, 4) AS {c}' for c in FEATURES)}, {', '.join(f'rank_{n}' for n in POOLED)} FROM
+@register("pool_features", sql(f"""SELECT query_id, item_id, {', '.join(f'round_even({c}::DOUBLE, 4) + 0.0::DOUBLE AS {c}' for c in FEATURES)}, {', '.join(f'rank_{n}' for n in POOLED)} FROM
     (SELECT p.*, f.*  EXCLUDE (query_id, item_id), final - max(final) OVER (PARTITION BY p.query_id) AS final_gap, count(*) OVER (PARTITION BY p.query_id) AS q_pool_size FROM pool p JOIN
      (SELECT *, {score_sql(W)} AS final, ln(loc_p + {fusion.LOC_EPS}) AS loc_logp, ln(mc_p + {fusion.MC_EPS}) AS mc_logp, CASE WHEN loc = item_loc THEN 1 ELSE 0 END AS same_loc FROM pairs) f USING (query_id, item_id))""", "pool", "pairs"))
 def pool_features(spark, sf_dir):
