@@ -113,6 +113,28 @@ def test_components_of_a_chain_a_star_and_a_clique(spark):
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+@pytest.mark.parametrize("last_links", [0, 60, 500_000])
+def test_components_in_rounds_and_finished_by_one_task(spark, last_links):
+    rnd = random.Random(8)
+    pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(150)]
+    links = spark.createDataFrame([(a, b) if rnd.random() < 0.5 else (b, a) for a, b in pairs] + [(None, 3)], "u long, v long")
+    out = {r.node: r.root for r in components.connected_components(links, last_links=last_links).collect()}
+    want = classes(1151, pairs)
+    assert set(out) == {i for a, b in pairs if a != b for i in (a, b)}
+    assert all(want[node] == want[root] for node, root in out.items())
+    assert len(set(out.values())) == len({want[i] for i in out})
+
+
+def test_few_links_take_few_jobs(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(2000)], "u long, v long")
+    spark.sparkContext.setJobGroup("few links", "")
+    try:
+        assert components.connected_components(links).select("root").distinct().count() == 1
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 10
+
+
 def test_rows_are_parted_without_missing_an_id(spark):
     rows = spark.createDataFrame([(i % 700, "x") for i in range(1400)] + [(None, "n")], "doc_id long, __set string")
     for ids, n_words in (([*range(0, 700, 9), None], 1 << 17), (list(range(350)), 4), ([], 1 << 17)):
