@@ -8,8 +8,9 @@ again.)
 
 All variants of 64 bits and radius 4 are 2,081 a fingerprint, too many bytes to move one by one. The shuffle therefore
 keys on a variant's upper bits: 37 rows a fingerprint for 8 bits, each with the flips it may still make below. A task then
-emits the lower halves of all variants of its keys in sorted runs of bounded length and finds those that meet. Keys
-that too many fingerprints share are first dealt out by further bits, as many times as it takes. Where many meet, a variant links its members to
+emits the lower halves of all variants of its keys in sorted runs of bounded length and finds those that meet. A key
+of more variants than a run is dealt out by further bits inside the task, where a row costs no shuffle. Keys with more rows
+than a task holds are first dealt out so in the shuffle, as many times as it takes. Where many meet, a variant links its members to
 the least of them, never all with all; a run gives a spanning forest of what it found, so the number of links stays in
 proportion to the fingerprints.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,9 @@ RADIUS = 4
 SEED = 42
 #: Bits of a variant that make the key of the shuffle, and by which hot keys are dealt out further.
 KEY_BITS = 8
-#: Rows of a key that one task takes as they are; a key with more is dealt out by its next bits.
-KEY_ROWS = 65_536
+#: Rows of a key that one task takes as they are, 24 bytes each; a key with more is dealt out by its next bits. Dealing out
+#: makes 137 rows a fingerprint of 37, so it is for keys that a task can't hold: from some 14 million distinct fingerprints.
+KEY_ROWS = 1 << 21
 #: Variants in a sorted run: what a task holds at once.
 RUN = 2_000_000
 #: Fingerprints of a document's pairs of words, and words of a shingle, where documents are to be similar.
@@ -126,6 +129,39 @@ def _masks(bits: int, k: int) -> np.ndarray:
     return np.array([m for m, n in _flips(bits, k) if n == k], np.uint64)
 
 
+def _variants(left: np.ndarray, bits: int) -> int:
+    """Variants of rows that may still make ``left`` flips in ``bits`` bits."""
+    return sum(int(n) * sum(comb(bits, i) for i in range(k + 1)) for k, n in enumerate(np.bincount(left)))
+
+
+def _dealt(key: np.ndarray, left: np.ndarray, fp: np.ndarray, bits: int, radius: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Some keys in pieces (key, left, fp, bits) of at most ``most`` variants, keys made longer for it as in ``_deeper``. Each
+    variant is in one piece, with all rows that have it. Only what shares all bits but KEY_BITS or fewer may be more."""
+    if bits <= KEY_BITS or _variants(left, bits) <= most:
+        yield key, left, fp, bits
+        return
+    rest, flips = bits - KEY_BITS, _flips(KEY_BITS, radius // 2)
+    below = ((fp >> np.uint64(rest)) & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)
+    order = np.argsort(below, kind="stable")
+    starts = np.searchsorted(below[order], np.arange((1 << KEY_BITS) + 1))
+    held, size = [], 0
+    for s in range(1 << KEY_BITS):
+        at = [(order[starts[s ^ m] : starts[(s ^ m) + 1]], k) for m, k in flips]
+        at = [(i[left[i] >= k], k) for i, k in at]
+        who = np.concatenate([i for i, _ in at])
+        if not len(who):
+            continue
+        part = (key[who] << np.uint64(KEY_BITS)) | np.uint64(s), left[who] - np.repeat([k for _, k in at], [len(i) for i, _ in at]), fp[who]
+        n = _variants(part[1], rest)
+        if held and size + n > most:
+            yield from _dealt(*(np.concatenate(x) for x in zip(*held, strict=True)), rest, radius, most)
+            held, size = [], 0
+        held.append(part)
+        size += n
+    if held:
+        yield from _dealt(*(np.concatenate(x) for x in zip(*held, strict=True)), rest, radius, most)
+
+
 def _met(key: np.ndarray, left: np.ndarray, fp: np.ndarray, bits: int, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between the fingerprints of some keys: (one, other), a spanning forest of all that share a variant."""
     base = (key << np.uint64(bits)) | (fp & np.uint64((1 << bits) - 1))
@@ -203,8 +239,10 @@ def _meet(rows: DataFrame, bits: int, radius: int, most: int) -> DataFrame:
                 limit = (cost[i - 1] if i else 0) + most
                 fit = ends[(ends > i) & (ends <= np.searchsorted(code, code[i], "right"))]
                 j = fit[max(0, np.searchsorted(cost[fit - 1], limit, "right") - 1)]
-                a, b = _met(key[i:j], left[i:j], fp[i:j], bits, radius, most)
-                if len(a):
+                for piece in _dealt(key[i:j], left[i:j], fp[i:j], bits, radius, most):
+                    a, b = _met(*piece, radius, most)
+                    if not len(a):
+                        continue
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), code[i], np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["code", "u", "v"])
                 i = j
 

@@ -69,6 +69,34 @@ def test_links_are_those_of_brute_force(spark, key_rows, run):
         assert classes(len(own), [(at[r.u], at[r.v]) for r in links if r.code == c]) == classes(len(own), pairs)
 
 
+@pytest.mark.parametrize("most", [2_000, 40_000])
+def test_a_key_is_dealt_out_in_its_task(most):
+    rng = np.random.default_rng(3)
+    fp = np.unique(np.r_[rng.integers(0, 1 << 56, 60, np.uint64), rng.integers(0, 1 << 9, 200, np.uint64)]) | np.uint64(7 << 56)
+    left = rng.integers(0, 3, len(fp)).astype(np.int32)
+
+    def having(key, left, fp, bits):  # of each variant, the rows that have it
+        out = {}
+        for k, n, x in zip(key.tolist(), left.tolist(), fp.tolist(), strict=True):
+            for m, _ in simhash._flips(bits, n):
+                out.setdefault(k << bits | (x & ((1 << bits) - 1)) ^ m, set()).add(x)
+        return out
+
+    want = having(np.full(len(fp), 7, np.uint64), left, fp, 56)
+    pieces = [having(*x) for x in simhash._dealt(np.full(len(fp), 7, np.uint64), left, fp, 56, 4, most)]
+    assert len(pieces) > 1 and sum(map(len, pieces)) == len(want)
+    assert {v: rows for p in pieces for v, rows in p.items()} == want
+    assert all(sum(map(len, p.values())) <= most for p in pieces)
+
+
+def test_keys_that_a_task_holds_are_not_dealt_out_in_the_shuffle(spark, monkeypatch):
+    def deeper(*_):
+        raise AssertionError("each fingerprint would be shuffled 137 times instead of 37")
+
+    monkeypatch.setattr(simhash, "_deeper", deeper)
+    simhash.ball_links(spark.range(70_000).select(F.lit(0).alias("code"), F.xxhash64("id").bitwiseAND(F.lit((1 << 56) - 1)).alias("fp")))
+
+
 def test_near_duplicates(spark):
     rnd = random.Random(1)
     words = [f"w{i}" for i in range(500)]
