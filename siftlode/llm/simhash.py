@@ -141,9 +141,9 @@ def _dealt(key: np.ndarray, left: np.ndarray, fp: np.ndarray, bits: int, radius:
         yield key, left, fp, bits
         return
     rest, flips = bits - KEY_BITS, _flips(KEY_BITS, radius // 2)
-    below = ((fp >> np.uint64(rest)) & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)
-    order = np.argsort(below, kind="stable")
-    starts = np.searchsorted(below[order], np.arange((1 << KEY_BITS) + 1))
+    below = ((fp >> np.uint64(rest)) & np.uint64((1 << KEY_BITS) - 1)).astype(np.uint8)
+    order = np.argsort(below, kind="stable").astype(np.int32)
+    starts = np.r_[0, np.cumsum(np.bincount(below, minlength=1 << KEY_BITS))]
     held, size = [], 0
     for s in range(1 << KEY_BITS):
         at = [(order[starts[s ^ m] : starts[(s ^ m) + 1]], k) for m, k in flips]
@@ -260,7 +260,9 @@ def _meet(rows: DataFrame, bits: int, radius: int, most: int) -> DataFrame:
                 held = [tuple(x[cut:] for x in whole)]
                 size = int(weight[held[0][2]].sum()) if cut else 0
         if held and sum(len(x[0]) for x in held):
-            yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []  # a key of many rows is not held twice
+            yield from flush(*whole)
 
     dealt = rows.select("code", "key", "left", "fp").repartition("code", "key").sortWithinPartitions("code", "key")
     return dealt.mapInArrow(run, "code int, u long, v long")
