@@ -16,6 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 #: Words of 64 bits in the filter of listed ids, a power of two; it is broadcast and has no more rows than these.
 FILTER_WORDS = 1 << 17
+#: Groups that ``with_groups`` broadcasts at most.
+HOT_GROUPS = 1000
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows of a file of a table whose size is known.
 ROWS_A_FILE = 500_000
 #: Setting under which a query's shuffle files are deleted at its end.
@@ -100,6 +103,29 @@ def own_prefix(df: DataFrame) -> str:
     return p
 
 
+def filter_words(listed: int) -> int:
+    """Words of a filter that ``part_by_ids`` fills with ``listed`` ids at up to four a word, between 2 ** 17 and 2 ** 20 (8 MB)."""
+    return min(max(FILTER_WORDS, 1 << (max(listed, 1) // 4).bit_length()), 1 << 20)
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, how: str = "inner", most: int = HOT_GROUPS) -> DataFrame:
+    """``rows`` joined with ``groups`` on ``key``, each group's ``size`` being its number of rows, of ``n_rows`` in all.
+
+    Groups with at least 1 / ``most`` of all rows, of which there can be no more than ``most``, are broadcast, so that their rows stay where
+    they are; all others are met in a shuffle. Keys are not null.
+    """
+    least = max(2, -(-n_rows // most))
+    hot, rest = groups.where(F.col(size) >= least), groups.where(F.col(size) < least)
+    first = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return first.unionByName(others.join(rest, key, how))
+
+
+def lower_ascii(text: Column) -> Column:
+    """Lower case of A to Z only; texts without other letters take the faster way."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+
+
 def words(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, html_extract, line_dedup, mixing, quality, sharding, simhash, url_filter, warc
+from . import decontam, embed_dedup, exact_dedup, html_extract, importance, line_dedup, mixing, quality, sharding, simhash, url_filter, warc, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,7 +59,24 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "matched")
 
 
-QUERIES |= {"op1_url_filter": op1_url_filter, "op2_html_extract": op2_html_extract, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_embedding_dedup": op7_embedding_dedup, "op8_line_dedup": op8_line_dedup, "op9_decontamination": op9_decontamination, "op10_simhash": op10_simhash}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
+    return out.select("vec_id", "n", "deviation", "identity_error", each).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error"
+    )
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.copies(table(spark, sf_dir, "documents"), keep="largest")
+
+
+QUERIES |= {"op1_url_filter": op1_url_filter, "op2_html_extract": op2_html_extract, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_embedding_dedup": op7_embedding_dedup, "op8_line_dedup": op8_line_dedup, "op9_decontamination": op9_decontamination, "op10_simhash": op10_simhash, "op11_importance": op11_importance, "op12_whitening": op12_whitening, "op13_exact_dedup": op13_exact_dedup}
 
 _PARTS = r"""
   SELECT page_id, url, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*') END AS raw,
@@ -153,3 +171,34 @@ marked AS (SELECT line.*, bad.l IS NOT NULL AS gone FROM line LEFT JOIN bad ON l
 agg AS (SELECT r, COUNT(*)::BIGINT AS n_lines, COUNT(*) FILTER (gone)::BIGINT AS n_removed, COALESCE(string_agg(l, chr(10) ORDER BY p) FILTER (NOT gone), '') AS text FROM marked GROUP BY r)
 SELECT doc_id, COALESCE(n_lines, 0) AS n_lines, COALESCE(n_removed, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE agg.text END AS text FROM d LEFT JOIN agg USING (r)
 """
+
+ORACLE["op13_exact_dedup"] = f"""
+WITH d AS (SELECT doc_id, translate(COALESCE(text, ''), {_AZ}) AS t FROM documents),
+g AS (SELECT t, MAX(doc_id) AS keep_id, COUNT(*)::BIGINT AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
+"""
+
+# CRC-32 by its table of 256 entries, made by the polynomial; only of distinct words
+ORACLE["op11_importance"] = rf"""
+WITH RECURSIVE bits AS (
+  SELECT i AS b, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, {0xEDB88320}) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS steps FROM bits WHERE k = 8),
+texts AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+runs AS (SELECT kind, id, regexp_extract_all(translate(COALESCE(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+word AS (SELECT kind, id, unnest(ws) AS w FROM runs),
+coded AS (
+  SELECT w, xor(list_reduce(list_prepend({0xFFFFFFFF}::BIGINT, list_transform(range(0, strlen(w)), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT)),
+                            lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), {0xFFFFFFFF}::BIGINT) % {importance.BUCKETS} AS bucket
+  FROM (SELECT DISTINCT w FROM word), crc),
+counted AS (SELECT bucket, COUNT(*) FILTER (kind = 'd') AS s, COUNT(*) FILTER (kind = 'b') AS t FROM word JOIN coded USING (w) GROUP BY bucket),
+total AS (SELECT SUM(s)::DOUBLE AS ss, SUM(t)::DOUBLE AS tt FROM counted),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (ss + {importance.BUCKETS}) / ((s + 1)::DOUBLE * (tt + {importance.BUCKETS}))))::BIGINT AS gain FROM counted, total),
+weights AS (SELECT id, floor(SUM(gain)::DOUBLE / COUNT(*))::BIGINT AS weight FROM word JOIN coded USING (w) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY id),
+scored AS (
+  SELECT id AS doc_id, len(ws)::BIGINT AS n_features, COALESCE(weight, 0) AS weight,
+         COALESCE(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{importance.SEED}:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM runs LEFT JOIN weights USING (id) WHERE kind = 'd'),
+places AS (SELECT doc_id, ROW_NUMBER() OVER (ORDER BY score DESC, doc_id) AS rank, COUNT(*) OVER () AS n FROM scored WHERE n_features >= {importance.MIN_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * {importance.PERCENT} // 100 THEN rank END AS rank FROM scored LEFT JOIN places USING (doc_id)
+"""
