@@ -167,6 +167,24 @@ def _records(rows: DataFrame, features: Sequence[str], edges: Sequence[np.ndarra
     return packed.mapInArrow(run, f"query_id {kind}, label array<double>, draw array<long>, x binary, base array<double>")
 
 
+def gradients(rows: DataFrame, score: str, at: int = 50) -> DataFrame:
+    """(query_id, item_id, label, g, h): lambdas of the rows of queries with a relevant one, at the scores that are given; ties by item id."""
+    one = F.struct("item_id", F.col("label").cast("double").alias("label"), F.col(score).cast("double").alias("score"))
+    packed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("r")).where(F.exists("r", lambda r: r["label"] > 0)).select("query_id", F.col("r.item_id"), F.col("r.label"), F.col("r.score"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = np.cumsum([0, *np.diff(b.column(2).offsets.to_numpy())])
+            label, value = (b.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
+            parts = [lambdas(label[i:j], value[i:j], at) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0))) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *lists], names=["query_id", "item_id", "label", "g", "h"])
+
+    kinds = {n: rows.schema[n].dataType.simpleString() for n in ("query_id", "item_id")}
+    out = packed.mapInArrow(run, f"query_id {kinds['query_id']}, item_id array<{kinds['item_id']}>, label array<double>, g array<double>, h array<double>")
+    return out.select("query_id", F.explode(F.arrays_zip("item_id", "label", "g", "h")).alias("x")).select("query_id", "x.item_id", "x.label", "x.g", "x.h")
+
+
 def drawn(draw: np.ndarray, tree: int, seed: int, share: float) -> np.ndarray:
     """Which rows a tree sees: a hash of the row and the tree's number is below ``share``."""
     if share >= 1:

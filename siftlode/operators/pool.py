@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,29 +64,47 @@ def query_features(queries: DataFrame, train: DataFrame, mc_p: DataFrame, n_mc:
     )
 
 
-def pair_features(pool: DataFrame, c: Components, weights: Mapping[str, float], centroids: DataFrame | None = None, filter_keys: Sequence[str] = (), filter_hits: DataFrame | None = None) -> DataFrame:
-    """``pool`` with raw term scores, loc_p, mc_p, loc_logp, mc_logp, filter_<key> flags, final, final_gap, same_loc,
-    dist_km and q_pool_size."""
-    s = fusion.score_pairs(pool, c, {**{n: 1e-300 for n in fusion.named(c)}, **weights}).withColumnRenamed("score", "final")
+#: The columns of the final recipe's feature table, besides filter_<key> of each main key and rank_<channel> of each channel.
+PAIR = ("char", "word", "dense", "memory", "loc_logp", "mc_logp", "filter", "final", "loc_p", "final_gap", "mc_p", "same_loc", "dist_km")
+ITEM = ("item_log_price", "item_phone_hidden", "item_msg_forbidden")
+QUERY = ("q_words", "q_has_filter", "q_is_agg", "q_seen", "q_mc_max", "q_mc_entropy", "q_loc_self_share")
+
+
+def feature_table(pool: DataFrame, c: Components, weights: Mapping[str, float], items: DataFrame, queries: DataFrame, centroids: DataFrame, filter_keys: Sequence[str] = (), places: int | None = 4) -> DataFrame:
+    """``pool`` with its features, one row a pair: raw terms, priors and their logs, ``final`` and its gap to the query's best,
+    filter_<key> flags, same_loc, dist_km (log1p; FAR_KM where a place is unknown), the pool's ranks, all columns of ``items``
+    (``item_features``) and ``queries`` (``query_features``), and q_pool_size; rounded to ``places``.
+
+    What depends on the query alone, or on the item alone, is put together before pairs are met: the pool is joined once with
+    each side, once with all lexical terms and once with filters and their hits; pairs are grouped by query for one window.
+    """
+    lat, lon = (lambda n: [F.col(x).alias(f"{x}{n}") for x in ("lat", "lon")]), F.col("loc")
+    q = c.queries.select("query_id", "query_norm", "loc", "params", "is_agg").join(queries, "query_id").join(centroids.select(lon, *lat(1)), "loc", "left")
+    i = c.items.select("item_id", F.col("loc").alias("item_loc"), F.col("mc").alias("item_mc"), "item_params").join(items, "item_id").join(centroids.select(F.col("loc").alias("item_loc"), *lat(2)), "item_loc", "left")
+    every = dict.fromkeys(fusion.named(c), 1.0)
+    rows = fusion.priors_of(pool.join(q, "query_id").join(i, "item_id"), c)
+    if c.texts:
+        terms = fusion.lexical_terms(replace(c, dense=None), every)
+        rows = rows.join(terms, ["query_norm", "item_id"], "left")
+    if c.dense is not None:
+        rows = fusion.with_dense(rows, c)
+    if c.filters is not None:
+        rows = rows.join(c.filters.select("params", "item_params", F.col("bonus").alias("filter"), "hits"), ["params", "item_params"], "left")
+        rows = rows.withColumns({f"filter_{k}": F.coalesce(F.array_contains("hits", k).cast("double"), F.lit(0.0)) for k in filter_keys}).drop("hits")
+    for name, of in c.pairs.items():
+        rows = rows.join(of.select("query_id", "item_id", name), ["query_id", "item_id"], "left")
+    rows = rows.withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in every})
+    km = F.coalesce(haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")), F.lit(FAR_KM))
+    rows = rows.withColumns({
+        "final": fusion.linear(c, weights), "loc_logp": F.log(F.col("loc_p") + fusion.LOC_EPS), "mc_logp": F.log(F.col("mc_p") + fusion.MC_EPS),
+        "same_loc": F.coalesce((F.col("loc") == F.col("item_loc")).cast("double"), F.lit(0.0)), "dist_km": F.log1p(km),
+    })
     by_query = Window.partitionBy("query_id")
-    s = s.withColumn("final_gap", F.col("final") - F.max("final").over(by_query)).withColumn("q_pool_size", F.count(F.lit(1)).over(by_query).cast("double"))
-    s = s.withColumn("loc_logp", F.log(F.col("loc_p") + fusion.LOC_EPS)).withColumn("mc_logp", F.log(F.col("mc_p") + fusion.MC_EPS))
-    s = s.withColumn("same_loc", F.coalesce((F.col("loc") == F.col("item_loc")).cast("double"), F.lit(0.0)))
-    for n in fusion.named(c):
-        s = s.withColumn(n, F.coalesce(F.col(n), F.lit(0.0)))
-    if centroids is not None:
-        a = centroids.select(F.col("loc"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
-        b = centroids.select(F.col("loc").alias("item_loc"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-        km = haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-        s = s.join(a, "loc", "left").join(b, "item_loc", "left").withColumn("dist_km", F.log1p(F.coalesce(km, F.lit(FAR_KM)))).drop("lat1", "lon1", "lat2", "lon2")
-    if filter_hits is not None:
-        params = c.items.select("item_id", "item_params")
-        s = s.join(params, "item_id").join(filter_hits.select("params", "item_params", "hits"), ["params", "item_params"], "left")
-        for k in filter_keys:
-            s = s.withColumn(f"filter_{k}", F.coalesce(F.array_contains("hits", k).cast("double"), F.lit(0.0)))
-        s = s.drop("hits", "item_params")
-    ranks = [x for x in pool.columns if x not in ("query_id", "item_id")]
-    return s.join(pool.select("query_id", "item_id", *ranks), ["query_id", "item_id"]) if ranks else s
+    rows = rows.withColumns({"final_gap": F.col("final") - F.max("final").over(by_query), "q_pool_size": F.count(F.lit(1)).over(by_query).cast("double")})
+    ids, ranks = ["query_id", "item_id"], [n for n in pool.columns if n.startswith("rank_")]
+    own = [*every, *[n for n in PAIR if n not in every and n in rows.columns], *[f"filter_{k}" for k in filter_keys if c.filters is not None], *[n for n in (*items.columns, *queries.columns) if n not in ids], "q_pool_size"]
+    out = rows.select(*ids, *[F.col(n).cast("double").alias(n) for n in own], *ranks)
+    return out if places is None else rounded(out, own, places)
 
 
 def rounded(features: DataFrame, columns: Sequence[str], places: int = 4) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import dense, eda, fusion, history, metrics, pool, priors, splits, tune
+from ..operators import dense, eda, fusion, history, listwise, metrics, pool, priors, splits, tune
 from ..sources import tables
 from ..sources.work import keep, together
 from . import recipe
-from .mapping import FIELDS, KEY_WEIGHTS, KEYS, NOISE, VECTORS, Frames, frames, queries_of, vectors
+from .mapping import FIELDS, KEY_WEIGHTS, KEYS, NOISE, Frames, frames, queries_of, vectors
 from .registry import register
 from .text_queries import ALL, NORM, sql, tfidf_ctes
 
@@ -56,11 +56,12 @@ ALL |= {
         JOIN (SELECT DISTINCT item_infm_params_text FROM items) i ON contains(i.item_infm_params_text, q.key || ' ' || q.value) GROUP BY ALL""", ["parsed", "queries", "items"]),
     "memory": ("""SELECT q.query_id, t.item_id, ln(1 + t.n) + ln(1 + coalesce(l.n, 0)) AS s FROM queries q JOIN (SELECT query_norm, item_id, count(*) AS n FROM train WHERE in_corpus GROUP BY ALL) t USING (query_norm)
         LEFT JOIN (SELECT query_norm, item_id, search_location_id, count(*) AS n FROM train WHERE in_corpus GROUP BY ALL) l ON l.query_norm = q.query_norm AND l.item_id = t.item_id AND l.search_location_id = q.search_location_id""", ["queries", "train"]),
-    "vcos": (f"SELECT a.vec_id AS x, b.vec_id AS y, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cos FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id < {VECTORS} AND b.vec_id < {VECTORS}", []),
+    "vcos": ("""SELECT query_norm, b.vec_id AS y, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cos FROM (SELECT DISTINCT query_norm, ('0x' || substr(md5(query_norm), 1, 4))::BIGINT % (SELECT count(*) FROM embeddings) AS x FROM queries)
+        JOIN embeddings a ON a.vec_id = x CROSS JOIN embeddings b""", ["queries"]),
     "pairs": (f"""SELECT q.query_id, q.query_norm, q.search_location_id AS loc, i.item_id, i.item_location_id AS item_loc, i.item_microcat_id AS item_mc,
         coalesce(c.cos, 0) AS char, coalesce(w.cos, 0) AS word, v.cos AS dense, coalesce(b.bonus, 0) AS filter, coalesce(l.p, 0) AS loc_p,
         CASE WHEN k.query_norm IS NULL THEN 1.0 / (SELECT count(*) FROM mcs) ELSE coalesce(m.p, 0) END AS mc_p, s.self_share < 0.5 AS is_agg
-        FROM queries q CROSS JOIN items i JOIN vcos v ON v.x = ('0x' || substr(md5(q.query_norm), 1, 4))::BIGINT % {VECTORS} AND v.y = i.item_vec LEFT JOIN char c ON c.q = q.query_norm AND c.d = i.item_id LEFT JOIN word w ON w.q = q.query_norm AND w.d = i.item_id
+        FROM queries q CROSS JOIN items i JOIN vcos v ON v.query_norm = q.query_norm AND v.y = i.item_vec % (SELECT count(*) FROM embeddings) LEFT JOIN char c ON c.q = q.query_norm AND c.d = i.item_id LEFT JOIN word w ON w.q = q.query_norm AND w.d = i.item_id
         LEFT JOIN bonus b ON b.params = q.search_infm_params_text AND b.item_params = i.item_infm_params_text LEFT JOIN locp l ON l.search_loc = q.search_location_id AND l.item_loc = i.item_location_id
         LEFT JOIN mcp m ON m.query_norm = q.query_norm AND m.mc = i.item_microcat_id LEFT JOIN (SELECT DISTINCT query_norm FROM mcp) k ON k.query_norm = q.query_norm LEFT JOIN share s ON s.search_loc = q.search_location_id""", ["queries", "items", "vcos", "char", "word", "bonus", "locp", "mcp", "mcs", "share"]),
 }
@@ -75,6 +76,11 @@ def score_sql(weights, masked=None):
     return s if masked is None else f"CASE WHEN loc_p < {masked} THEN {fusion.MASKED} ELSE {s} END"
 
 
+def top_terms_sql(weights, k):
+    """The best pairs with all their terms: one pass over the pairs."""
+    return f"SELECT * FROM (SELECT *, {score_sql(weights)} AS score FROM pairs) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round_even(score, 5) DESC, item_id) <= {k}"
+
+
 def top_sql(weights, k, masked=None):
     return f"SELECT query_id, item_id, rank, score FROM (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round_even(score, 5) DESC, item_id) AS rank FROM (SELECT query_id, item_id, {score_sql(weights, masked)} AS score FROM pairs)) WHERE rank <= {k}"
 
@@ -296,7 +302,7 @@ def loc_mask(spark, sf_dir):
 
 
 @register("explain_contrib", sql(f"""SELECT query_id, item_id, round({W['char']} * char, 6) AS c_char, round({W['word']} * word, 6) AS c_word, round({W['dense']} * dense, 6) AS c_dense, round({W['filter']} * filter, 6) AS c_filter,
-    round({W['loc']} * ln(loc_p + {fusion.LOC_EPS}), 6) AS c_loc, round({W['mc']} * ln(mc_p + {fusion.MC_EPS}), 6) AS c_mc, round({score_sql(W)}, 6) AS score FROM pairs JOIN (SELECT query_id, item_id FROM ({top_sql(W, 10)})) USING (query_id, item_id)""", "pairs"))
+    round({W['loc']} * ln(loc_p + {fusion.LOC_EPS}), 6) AS c_loc, round({W['mc']} * ln(mc_p + {fusion.MC_EPS}), 6) AS c_mc, round(score, 6) AS score FROM ({top_terms_sql(W, 10)})""", "pairs"))
 def explain_contrib(spark, sf_dir):
     _, b = built(spark, sf_dir)
     e = fusion.explain(fusion.topk_linear(b.components, W, 10), b.components, W)
@@ -364,6 +370,7 @@ def answer_validate(spark, sf_dir):
 
 # ---- pools and features ------------------------------------------------------------------------------------------
 
+ALL["clicked"] = ("SELECT DISTINCT query_id, item_id FROM train JOIN queries USING (query_norm, search_location_id)", ["train", "queries"])
 POOLED = ("final", "p_char", "p_word", "p_dense")
 ALL["pool"] = ("SELECT query_id, item_id, " + ", ".join(f"coalesce(min(rank) FILTER (c = '{n}'), {DEPTH + 1}) AS rank_{n}" for n in POOLED) + " FROM (" + " UNION ALL ".join(f"SELECT query_id, item_id, '{n}' AS c, rank FROM deep_{n}" for n in POOLED) + ") GROUP BY ALL", [f"deep_{n}" for n in POOLED])
 
@@ -379,16 +386,93 @@ def pool_union(spark, sf_dir):
     return p.select("query_id", "item_id", *[F.col(f"rank_{n}").cast("long").alias(f"rank_{n}") for n in POOLED])
 
 
-FEATURES = ("char", "word", "dense", "filter", "loc_p", "mc_p", "loc_logp", "mc_logp", "final", "final_gap", "same_loc", "q_pool_size")
+MAIN_KEYS = tuple(KEY_WEIGHTS)
+#: The 30 features of the final recipe.
+FEATURES = (*pool.PAIR, *[f"filter_{k}" for k in MAIN_KEYS], *pool.ITEM, *pool.QUERY, "q_pool_size", *[f"rank_{n}" for n in POOLED])
+ALL["qfeat"] = ("""SELECT q.query_id, len(list_filter(string_split(q.query_norm, ' '), lambda x: x <> ''))::DOUBLE AS q_words, (trim(search_infm_params_text) <> '')::INT::DOUBLE AS q_has_filter, (self_share < 0.5)::INT::DOUBLE AS q_is_agg, 1.0::DOUBLE AS q_seen,
+    m.mx AS q_mc_max, m.h AS q_mc_entropy, self_share AS q_loc_self_share FROM queries q JOIN share s ON s.search_loc = q.search_location_id JOIN (SELECT query_norm, max(p) AS mx, sum(-p * ln(p + 1e-12)) AS h FROM mcp GROUP BY 1) m USING (query_norm)""", ["queries", "share", "mcp"])
+ALL["ifeat"] = ("SELECT item_id, ln(1 + greatest(coalesce(item_price, 0), 0)) AS item_log_price, item_is_phone_hidden::INT::DOUBLE AS item_phone_hidden, item_is_message_forbidden::INT::DOUBLE AS item_msg_forbidden FROM items", ["items"])
+_KM = "2 * 6371.0 * asin(sqrt(greatest(0, least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))))"
+ALL["places"] = (f"SELECT s.search_loc AS loc, i.item_loc, ln(1 + coalesce({_KM}, {pool.FAR_KM})) AS dist_km FROM qlocs s CROSS JOIN ilocs i LEFT JOIN cent a ON a.loc = s.search_loc LEFT JOIN cent b ON b.loc = i.item_loc", ["qlocs", "ilocs", "cent"])
+ALL["pooled"] = (f"""SELECT *, final - max(final) OVER (PARTITION BY query_id) AS final_gap, count(*) OVER (PARTITION BY query_id) AS q_pool_size FROM
+    (SELECT f.*, p.* EXCLUDE (query_id, item_id), {score_sql(W)} AS final, ln(loc_p + {fusion.LOC_EPS}) AS loc_logp, ln(mc_p + {fusion.MC_EPS}) AS mc_logp, CASE WHEN loc = item_loc THEN 1 ELSE 0 END AS same_loc FROM pool p JOIN pairs f USING (query_id, item_id))""", ["pool", "pairs"])
+ALL["features"] = (f"""SELECT p.query_id, p.item_id, {', '.join(f'round_even({c}::DOUBLE, 4) + 0.0::DOUBLE AS {c}' for c in FEATURES if not c.startswith('rank_'))}, {', '.join(f'rank_{n}' for n in POOLED)} FROM
+    (SELECT p.*, coalesce(m.s, 0) AS memory, {', '.join(f"(coalesce(b.hits, '') LIKE '%{k}%')::INT AS filter_{k}" for k in MAIN_KEYS)} FROM pooled p LEFT JOIN memory m USING (query_id, item_id) JOIN queries q ON q.query_id = p.query_id JOIN items i ON i.item_id = p.item_id
+     LEFT JOIN bonus b ON b.params = q.search_infm_params_text AND b.item_params = i.item_infm_params_text) p
+    JOIN qfeat USING (query_id) JOIN ifeat USING (item_id) JOIN places g ON g.loc = p.loc AND g.item_loc = p.item_loc""", ["pooled", "memory", "queries", "items", "bonus", "qfeat", "ifeat", "places"])
+
+
+def _clicks_of(f):
+    """(query_id, item_id) of the clicks in each query's context."""
+    return f.train.join(f.queries.select("query_id", "query_norm", "search_location_id"), ["query_norm", "search_location_id"]).select("query_id", "item_id")
+
+
+def _features(spark, sf_dir):
+    """The pool's table of all features; what the recipe drops is left out."""
+    f, b, p = _pool(spark, sf_dir)
+    items = pool.drop_features(pool.item_features(f.items, f.train))
+    queries = pool.query_features(f.queries, f.train, b.components.mc_p, b.components.n_mc, b.shares)
+    return f, b, pool.feature_table(p, b.components, W, items, queries, b.centroids, MAIN_KEYS)
 
 
-@register("pool_features", sql(f"""SELECT query_id, item_id, {', '.join(f'round_even({c}::DOUBLE, 4) + 0.0::DOUBLE AS {c}' for c in FEATURES)}, {', '.join(f'rank_{n}' for n in POOLED)} FROM
-    (SELECT p.*, f.*  EXCLUDE (query_id, item_id), final - max(final) OVER (PARTITION BY p.query_id) AS final_gap, count(*) OVER (PARTITION BY p.query_id) AS q_pool_size FROM pool p JOIN
-     (SELECT *, {score_sql(W)} AS final, ln(loc_p + {fusion.LOC_EPS}) AS loc_logp, ln(mc_p + {fusion.MC_EPS}) AS mc_logp, CASE WHEN loc = item_loc THEN 1 ELSE 0 END AS same_loc FROM pairs) f USING (query_id, item_id))""", "pool", "pairs"))
+@register("pool_features", sql("SELECT * FROM features", "features"))
 def pool_features(spark, sf_dir):
-    _, b, p = _pool(spark, sf_dir)
-    x = pool.rounded(pool.pair_features(p, b.components, W, b.centroids, tuple(KEY_WEIGHTS), b.filters), FEATURES)
-    return x.select("query_id", "item_id", *FEATURES, *[F.col(f"rank_{n}").cast("long").alias(f"rank_{n}") for n in POOLED])
+    x = _features(spark, sf_dir)[2]
+    return x.select("query_id", "item_id", *[F.col(c).cast("long").alias(c) if c.startswith("rank_") else F.col(c) for c in FEATURES])
+
+
+# lambdas at the linear scores; a query's relevant items are those that its context clicked
+_D50 = lambda at: f"CASE WHEN {at} <= 50 THEN 1.0 / log2({at} + 1.0) ELSE 0.0 END"
+ALL["judged"] = (f"""SELECT query_id, item_id, s, label, {_D50('pos')} AS d, sum(label) OVER (PARTITION BY query_id) AS n_yes FROM
+    (SELECT f.query_id, f.item_id, final AS s, (c.item_id IS NOT NULL)::INT AS label, row_number() OVER (PARTITION BY f.query_id ORDER BY final DESC, f.item_id) AS pos
+     FROM features f LEFT JOIN clicked c ON c.query_id = f.query_id AND c.item_id = f.item_id)""", ["features", "clicked"])
+ALL["swaps"] = (f"""SELECT a.query_id, a.item_id AS yes, b.item_id AS no, abs(a.d - b.d) / ideal AS delta, 1 / (1 + exp(a.s - b.s)) AS rho FROM judged a JOIN judged b ON a.query_id = b.query_id AND a.label = 1 AND b.label = 0
+    JOIN (SELECT n, sum({_D50('r')}) AS ideal FROM (SELECT DISTINCT n_yes AS n FROM judged) JOIN (SELECT unnest(range(1, 51)) AS r) ON r <= n GROUP BY n) ON n = a.n_yes""", ["judged"])
+
+
+@register("listwise_lambdas", sql("""SELECT query_id, item_id, label, round(coalesce(g, 0), 6) + 0.0::DOUBLE AS g, round(coalesce(h, 0), 6) AS h FROM judged LEFT JOIN (SELECT query_id, item_id, sum(g) AS g, sum(h) AS h FROM
+    (SELECT query_id, yes AS item_id, -rho * delta AS g, rho * (1 - rho) * delta AS h FROM swaps UNION ALL SELECT query_id, no, rho * delta, rho * (1 - rho) * delta FROM swaps) GROUP BY ALL) USING (query_id, item_id) WHERE n_yes > 0""", "judged", "swaps"))
+def listwise_lambdas(spark, sf_dir):
+    f, _, x = _features(spark, sf_dir)
+    g = listwise.gradients(pool.labelled(x, _clicks_of(f)), "final", 50)
+    return g.select("query_id", "item_id", F.col("label").cast("int").alias("label"), (F.round("g", 6) + 0.0).alias("g"), r6("h").alias("h"))
+
+
+#: Settings of the registered rankers: the recipe's, but fewer and longer steps, as each level of a tree is a job.
+RANKER = listwise.Settings(trees=24, step=0.2, depth=4, leaves=12, patience=6)
+
+
+#: Labels are the very clicks that memory counts, so it stays out.
+LEARNED = tuple(n for n in FEATURES if n != "memory")
+
+
+def _halves(f):
+    """Half of the queries of each of 256 cells by a hash, so that no task has all of them."""
+    return splits.halves(f.queries.select("query_id", F.substring(F.md5("query_id"), 1, 2).alias("cell")), SEED)
+
+
+def _judged(spark, sf_dir):
+    f, b, x = _features(spark, sf_dir)
+    return f, b, keep(pool.labelled(x, _clicks_of(f)))
+
+
+@register("ranker_listwise")
+def ranker_listwise(spark, sf_dir):
+    """Each query's 50 best by a model of the other half of the queries, then by the linear ranking."""
+    f, b, x = _judged(spark, sf_dir)
+    halves = _halves(f)
+    scored, _ = listwise.cross_fit(x, halves, LEARNED, RANKER)
+    return ranks(pool.to_candidates(pool.top_by_model(scored, 50), fusion.topk_linear(b.components, W, 50), 50))
+
+
+@register("ranker_importance")
+def ranker_importance(spark, sf_dir):
+    """Mean share of gain of each feature over the models of both halves, and the trees that each kept."""
+    f, _, x = _judged(spark, sf_dir)
+    halves = _halves(f)
+    _, models = listwise.cross_fit(x, halves, LEARNED, RANKER)
+    rows = [(n, s, len(models[0].trees), len(models[1].trees)) for n, s in listwise.importance(models)]
+    return spark.createDataFrame(rows, "feature string, share double, trees_a int, trees_b int")
 
 
 @register("query_features", sql(f"""SELECT q.query_id, len(list_filter(string_split(q.query_norm, ' '), lambda x: x <> ''))::DOUBLE AS q_words, (trim(search_infm_params_text) <> '')::INT::DOUBLE AS q_has_filter, (self_share < 0.5)::INT::DOUBLE AS q_is_agg, 1.0::DOUBLE AS q_seen,
@@ -422,14 +506,10 @@ def rank_top(spark, sf_dir):
     return ranks(pool.top_by_model(p.join(f.items.select("item_id", F.col("item_price").alias("prediction")), "item_id"), 10))
 
 
-ALL["clicked"] = ("SELECT DISTINCT query_id, item_id FROM train JOIN queries USING (query_norm, search_location_id)", ["train", "queries"])
-
-
 @register("pool_labels", sql(f"SELECT p.query_id, p.item_id, {', '.join(f'rank_{n}' for n in POOLED if n != 'p_word')}, (c.item_id IS NOT NULL)::INT AS label FROM pool p LEFT JOIN clicked c ON p.query_id = c.query_id AND p.item_id = c.item_id", "pool", "clicked"))
 def pool_labels(spark, sf_dir):
     f, _, p = _pool(spark, sf_dir)
-    rel = f.train.join(f.queries.select("query_id", "query_norm", "search_location_id"), ["query_norm", "search_location_id"]).select("query_id", "item_id")
-    x = pool.drop_features(pool.labelled(p, rel), ("rank_p_word", "not_there"))
+    x = pool.drop_features(pool.labelled(p, _clicks_of(f)), ("rank_p_word", "not_there"))
     return x.select("query_id", "item_id", *[F.col(f"rank_{n}").cast("long").alias(f"rank_{n}") for n in POOLED if n != "p_word"], F.col("label").cast("int").alias("label"))
 
 
@@ -443,7 +523,7 @@ def model_then_linear(spark, sf_dir):
 
 
 @register("main_source", sql(f"""SELECT query_id, item_id, CASE WHEN a >= greatest(b, c) THEN 'char' WHEN b >= c THEN 'word' ELSE 'dense' END AS main FROM
-    (SELECT query_id, item_id, round({W['char']} * char, 6) AS a, round({W['word']} * word, 6) AS b, round({W['dense']} * dense, 6) AS c FROM pairs JOIN (SELECT query_id, item_id FROM ({top_sql(W, 10)})) USING (query_id, item_id))""", "pairs"))
+    (SELECT query_id, item_id, round({W['char']} * char, 6) AS a, round({W['word']} * word, 6) AS b, round({W['dense']} * dense, 6) AS c FROM ({top_terms_sql(W, 10)}))""", "pairs"))
 def main_source(spark, sf_dir):
     _, b = built(spark, sf_dir)
     e = fusion.explain(fusion.topk_linear(b.components, W, 10), b.components, W)

@@ -17,8 +17,6 @@ from ..functions.text import normalize
 KEYS = ("Brand", "Size", "Type")
 KEY_WEIGHTS = {"Type": 0.7, "Brand": 0.3}
 FIELDS = ({"col": "item_title_raw", "repeat": 2}, {"col": "item_infm_params_text"}, {"col": "item_description_raw"})
-#: Rows of the embeddings table that stand for an encoder's vectors.
-VECTORS = 500
 #: Removed from the items' parameters before they are cut.
 NOISE = (r"Size \d+", r"Brand#1\d")
 
@@ -46,7 +44,7 @@ SQL = {
                p_retailprice AS item_price,
                CASE WHEN p_size % 7 = 0 THEN NULL ELSE CAST(p_size % 6 AS DOUBLE) END AS item_rating,
                CASE WHEN p_size % 11 = 0 THEN NULL ELSE p_size * 3 END AS item_rating_reviews_count,
-               CAST(p_partkey % 500 AS BIGINT) AS item_vec, p_size % 2 = 0 AS item_is_phone_hidden, p_size % 5 = 0 AS item_is_message_forbidden
+               CAST(p_partkey AS BIGINT) AS item_vec, p_size % 2 = 0 AS item_is_phone_hidden, p_size % 5 = 0 AS item_is_message_forbidden
         FROM part WHERE p_size <= 35""",
 }
 
@@ -78,10 +76,12 @@ def queries_of(train: DataFrame) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str, f: Frames) -> tuple[DataFrame, DataFrame]:
-    """(query_norm, vec) and (item_id, vec): rows of the embeddings table stand for an encoder's vectors of texts and items."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(f"vec_id < {VECTORS}").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
-    q = f.queries.select("query_norm").distinct().withColumn("vec_id", F.conv(F.substring(F.md5("query_norm"), 1, 4), 16, 10).cast("long") % VECTORS)
-    return q.join(e, "vec_id").select("query_norm", "vec"), f.items.select("item_id", F.col("item_vec").alias("vec_id")).join(e, "vec_id").select("item_id", "vec")
+    """(query_norm, vec) and (item_id, vec): all rows of the embeddings table, numbered from 0, stand for an encoder's vectors of
+    texts and items, which take them in turn."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    n = e.count()
+    q = f.queries.select("query_norm").distinct().withColumn("vec_id", F.conv(F.substring(F.md5("query_norm"), 1, 4), 16, 10).cast("long") % n)
+    return q.join(e, "vec_id").select("query_norm", "vec"), f.items.select("item_id", (F.col("item_vec") % n).alias("vec_id")).join(e, "vec_id").select("item_id", "vec")
 
 
 #: The same in DuckDB, as tables of a WITH clause.

@@ -62,12 +62,27 @@ def test_contributions_add_up(small):
 
 def test_features(small):
     it, tr, q, b = small
-    tops = recipe.rank_channels(b.components, {"final": fusion.WEIGHTS, "char": {"char": 1.0}}, 5)
+    c, w = b.components, fusion.WEIGHTS
+    tops = recipe.rank_channels(c, {"final": w, "char": {"char": 1.0}}, 5)
     p = pool.build_pool(tops, 5)
-    x = pool.pair_features(p, b.components, fusion.WEIGHTS, b.centroids, ("Type",), b.filters)
-    rows = x.collect()
-    assert {(r.query_id, r.item_id) for r in rows} == {(r.query_id, r.item_id) for r in p.collect()}
-    assert all(r.final_gap <= 0 and r.q_pool_size >= 5 and r.dist_km > 0 for r in rows)
+    more = {"item_rating": F.lit(None).cast("int"), "item_rating_reviews_count": F.lit(3), "item_is_phone_hidden": F.lit(True), "item_is_message_forbidden": F.lit(False)}
+    items, queries = pool.drop_features(pool.item_features(it.withColumns(more), tr)), pool.query_features(q, tr, c.mc_p, c.n_mc, b.shares)
+    x = pool.feature_table(p, c, w, items, queries, b.centroids, ("Type",), places=None)
+    rows = {(r.query_id, r.item_id): r for r in x.collect()}
+    assert set(rows) == {(r.query_id, r.item_id) for r in p.collect()} and x.count() == len(rows)
+    # every term is what the fusion scores with
+    for r in fusion.score_pairs(p, c, w | {"memory": 1e-12}).collect():
+        f = rows[r.query_id, r.item_id]
+        assert abs(f.final - r.score) < 1e-6 and f.loc_p == r.loc_p and f.mc_p == r.mc_p and f.same_loc == float(r.loc == r.item_loc)
+        assert all(abs(f[n] - (r[n] or 0.0)) < 1e-9 for n in ("char", "word", "filter", "memory"))
+    best = {}
+    for (i, _), f in rows.items():
+        best.setdefault(i, []).append(f)
+    for f in best.values():
+        assert max(r.final_gap for r in f) == 0 and {r.q_pool_size for r in f} == {len(f)} and all(abs(r.final - r.final_gap - max(x.final for x in f)) < 1e-9 for r in f)
+    assert all(r.dist_km > 0 and r.filter_Type in (0, 1) and r.rank_final <= 6 for r in rows.values())
+    one = {r.item_id: r for r in items.collect()}
+    assert all(rows[k].item_log_price == one[k[1]].item_log_price for k in rows)
 
 
 @pytest.fixture(scope="module")
