@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import dense, eda, fusion, history, listwise, metrics, pool, priors, splits, tune
+from ..operators import clusters, dense, eda, fusion, history, listwise, metrics, pool, postings, priors, splits, tune
 from ..sources import tables
 from ..sources.work import keep, together
 from . import recipe
 from .mapping import FIELDS, KEY_WEIGHTS, KEYS, NOISE, Frames, frames, queries_of, vectors
-from .registry import register
+from .registry import ORACLE, register
 from .text_queries import ALL, NORM, sql, tfidf_ctes
 
 W = fusion.WEIGHTS
@@ -270,6 +270,36 @@ def dense_topk(spark, sf_dir):
     return dense.topk(q, e.withColumnRenamed("vec_id", "item_id"), 50).select("query_id", "item_id", F.col("rank").cast("long").alias("rank"), r6("cos").alias("cos"))
 
 
+@register("cluster_topk", ORACLE["dense_topk"])
+def cluster_topk(spark, sf_dir):
+    """``dense_topk`` over clusters, cells that cannot reach a query's 50th best left out."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    found = clusters.search(clusters.fit(e, "vec_id"), e.where("vec_id % 50 = 0"), 50, "vec_id")
+    return found.top.select(F.col("q").alias("query_id"), F.col("d").alias("item_id"), F.col("rank").cast("long").alias("rank"), r6("cos").alias("cos"))
+
+
+# ---- the stored index: short texts against the items, both analyzers in one search --------------------------------
+
+
+def _index(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    docs, texts = together(lambda: keep(f.items.select("item_id", tx.doc_text(FIELDS, NOISE).alias("text"))), lambda: keep(f.queries.select("query_norm").distinct()))
+    index = postings.build(docs, "item_id", "text")
+    return postings.search(index, texts.withColumn("text", F.col("query_norm")), 50, "query_norm", "text", {"char": W["char"], "word": W["word"]})
+
+
+@register("index_topk", sql(f"""SELECT q AS query_norm, d AS item_id, rank, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round_even(s, 5) DESC, d) AS rank FROM
+    (SELECT coalesce(c.q, w.q) AS q, coalesce(c.d, w.d) AS d, {W['char']} * coalesce(c.cos, 0) + {W['word']} * coalesce(w.cos, 0) AS s FROM char c FULL JOIN word w ON c.q = w.q AND c.d = w.d)) WHERE rank <= 50""", "char", "word"))
+def index_topk(spark, sf_dir):
+    return _index(spark, sf_dir).top.select(F.col("q").alias("query_norm"), F.col("d").alias("item_id"), F.col("rank").cast("long").alias("rank"), r6("score").alias("score"))
+
+
+@register("index_work")
+def index_work(spark, sf_dir):
+    """Postings of each text's terms, and how many of them the search read; candidates found and completed."""
+    return _index(spark, sf_dir).work.withColumnRenamed("q", "query_norm")
+
+
 # ---- fusion ------------------------------------------------------------------------------------------------------
 
 
