@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import clusters, dense, eda, fusion, history, listwise, metrics, pool, postings, priors, splits, tune
+from ..operators import clusters, dense, eda, fusion, history, listwise, metrics, pool, postings, priors, splits, study, tune
 from ..sources import tables
 from ..sources.work import keep, together
 from . import recipe
@@ -505,6 +505,32 @@ def ranker_importance(spark, sf_dir):
     return spark.createDataFrame(rows, "feature string, share double, trees_a int, trees_b int")
 
 
+#: Weights that are scored together: those of the recipe, without the dense term, and with weights and an epsilon of their own.
+TRIALS = (dict(W), {n: w for n, w in W.items() if n != "dense"}, W | {"char": 0.5, "loc": 0.2, "filter_agg": 0.1, "loc_eps": 0.001})
+TERMS = ("char", "word", "dense", "filter", "memory")
+
+
+def _trial_sql(t):
+    parts = [f"{t.get(n, 0.0)} * {n}" if f"{n}_agg" not in t else f"(CASE WHEN q_is_agg = 1 THEN {t[f'{n}_agg']} ELSE {t.get(n, 0.0)} END) * {n}" for n in TERMS]
+    parts += [f"{t.get('loc', 0.0)} * ln(loc_p + {t.get('loc_eps', fusion.LOC_EPS)})", f"{t.get('mc', 0.0)} * ln(mc_p + {t.get('mc_eps', fusion.MC_EPS)})"]
+    return " + ".join(parts)
+
+
+@register("tune_trials", sql(f"""SELECT trial, cell, round(avg(hits / n_rel), 6) AS recall, count(*) AS n FROM
+    (SELECT trial, q.query_id, any_value(CASE WHEN trim(search_infm_params_text) <> '' THEN 'filter' ELSE 'nofilter' END) AS cell, any_value(n_rel) AS n_rel, count(c.item_id) AS hits
+     FROM queries q JOIN (SELECT query_id, count(*) AS n_rel FROM clicked GROUP BY 1) USING (query_id) JOIN
+     ({' UNION ALL '.join(f"SELECT {i} AS trial, query_id, item_id FROM features QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round_even({_trial_sql(t)}, 5) DESC, item_id) <= 50" for i, t in enumerate(TRIALS))}) p USING (query_id)
+     LEFT JOIN clicked c ON c.query_id = q.query_id AND c.item_id = p.item_id GROUP BY ALL) GROUP BY ALL""", "queries", "clicked", "features"))
+def tune_trials(spark, sf_dir):
+    """Recall at 50 over the pool by cell, of all trials in one job."""
+    f, b, x = _features(spark, sf_dir)
+    cell = F.when(tx.has_filter(F.col("search_infm_params_text")), F.lit("filter")).otherwise(F.lit("nofilter"))
+    q = f.queries.join(b.components.queries.select("query_id", "is_agg"), "query_id").select("query_id", "is_agg", cell.alias("cell"))
+    got = study.score(study.records(x, TERMS, q, _clicks_of(f)), TERMS, TRIALS, 50)
+    rows = [(i, c, round(r, 6), n) for i, by in enumerate(got) for c, (r, n) in by.items()]
+    return spark.createDataFrame(rows, "trial int, cell string, recall double, n long")
+
+
 @register("query_features", sql(f"""SELECT q.query_id, len(list_filter(string_split(q.query_norm, ' '), lambda x: x <> ''))::DOUBLE AS q_words, (trim(search_infm_params_text) <> '')::INT::DOUBLE AS q_has_filter, (self_share < 0.5)::INT::DOUBLE AS q_is_agg, 1.0::DOUBLE AS q_seen,
     round(m.mx, 6) AS q_mc_max, round(m.h, 6) AS q_mc_entropy, round(self_share, 6) AS q_loc_self_share FROM queries q JOIN share s ON s.search_loc = q.search_location_id JOIN (SELECT query_norm, max(p) AS mx, sum(-p * ln(p + 1e-12)) AS h FROM mcp GROUP BY 1) m USING (query_norm)""", "queries", "share", "mcp"))
 def query_features(spark, sf_dir):
