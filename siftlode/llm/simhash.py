@@ -49,6 +49,8 @@ RUN = 2_000_000
 #: Fingerprints of a document's pairs of words, and words of a shingle, where documents are to be similar.
 CODES = 8
 SIMILAR_SHINGLE = 5
+#: The run there: its tasks share an executor with the workers of the stages before.
+SIMILAR_RUN = 500_000
 
 ship(__name__)
 
@@ -287,9 +289,9 @@ def ball_links(fps: DataFrame, radius: int = RADIUS, key_rows: int = KEY_ROWS, r
         used += KEY_BITS
 
 
-def _links(fps: DataFrame, radius: int) -> DataFrame:
+def _links(fps: DataFrame, radius: int, run: int = RUN) -> DataFrame:
     # fingerprints are small and their keys many: a fixed number of tasks emits them
-    return materialise(ball_links(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))), radius))
+    return materialise(ball_links(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))), radius, run=run))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -375,7 +377,7 @@ def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
     """(t, root, fp) of the nodes (t, codes) that some code puts in a group with others; fp: the first code."""
     own = nodes.select("t", F.posexplode("codes").alias("code", "fp"))
     values = materialise(own.groupBy("code", "fp").agg(F.count(F.lit(1)).alias("n")))
-    links = _links(values.select("code", "fp"), radius)
+    links = _links(values.select("code", "fp"), radius, SIMILAR_RUN)
     size = 2 * links.count() + values.where("n > 1").count()
     name = lambda c: F.xxhash64("code", c)
     met = materialise(links.select(name("u").alias("v")).union(links.select(name("v").alias("v"))).union(values.where("n > 1").select(name("fp").alias("v"))).distinct(), rows=size)
