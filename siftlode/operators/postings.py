@@ -140,6 +140,12 @@ def _kth(sums: DataFrame, k: int) -> DataFrame:
     return sums.withColumn("r", r).where(F.col("r") == k).select("q", F.col("s").alias("least"))
 
 
+def _added(pairs: DataFrame, index: Index, own: DataFrame) -> DataFrame:
+    """(q, d, s): products of the terms ``own`` (q, term, wq) that the documents of ``pairs`` (q, d) have, not yet summed up."""
+    each = pairs.join(index.docs, pairs.d == index.docs.id).select("q", "d", F.explode(F.arrays_zip("terms", "ws")).alias("p")).select("q", "d", F.col("p.terms").alias("term"), F.col("p.ws").alias("w"))
+    return each.join(own, ["q", "term"]).select("q", "d", (F.col("wq") * F.col("w")).alias("s"))
+
+
 @dataclass(frozen=True)
 class Search:
     """top: q, d, rank, score. work: of each query, the postings of its terms, those read for its least and for candidates, the
@@ -159,7 +165,10 @@ def search(index: Index, queries: DataFrame, k: int, query_id: str, text: str, w
     best = Window.partitionBy("q").orderBy(F.desc(F.col("wq") * F.col("top")), "term", "level")
     upto = F.sum(F.least("n", F.lit(BLOCK))).over(best.rowsBetween(Window.unboundedPreceding, -1))
     seeds = ql.withColumn("before", F.coalesce(upto, F.lit(0))).where(F.col("before") < seed)
-    least = keep(_kth(_read(index, seeds, first_part=True), k))
+    # of the documents there, the best have their whole sums made
+    lead = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "d"))
+    first = keep(_read(index, seeds, first_part=True).withColumn("r", lead).where(F.col("r") <= 2 * k).select("q", "d"))
+    least = keep(_kth(_added(first, index, ql.select("q", "term", "wq").distinct()).groupBy("q", "d").agg(F.sum("s").alias("s")), k))
     # a term's most, and the sum of all
     terms = ql.groupBy("q", "term", "wq").agg(F.max("top").alias("top"), F.sum("n").alias("df")).withColumn("most", F.col("wq") * F.col("top"))
     terms = terms.join(least, "q", "left").withColumn("need", F.coalesce(F.col("least") - EPS, F.lit(-1.0)))
@@ -174,8 +183,7 @@ def search(index: Index, queries: DataFrame, k: int, query_id: str, text: str, w
     better = bounds.join(_kth(found, k), "q", "left").select("q", "left", F.greatest("need", F.coalesce(F.col("least") - EPS, F.lit(-1.0))).alias("need"))
     near = keep(found.join(better, "q").where(F.col("s") + F.col("left") >= F.col("need")).select("q", "d", "s"))
     own = terms.where("out").select("q", "term", "wq")
-    each = near.join(index.docs, near.d == index.docs.id).select("q", "d", F.explode(F.arrays_zip("terms", "ws")).alias("p")).select("q", "d", F.col("p.terms").alias("term"), F.col("p.ws").alias("w"))
-    more = each.join(own, ["q", "term"]).select("q", "d", (F.col("wq") * F.col("w")).alias("s"))
+    more = _added(near.select("q", "d"), index, own)
     scored = near.union(more).groupBy("q", "d").agg(F.sum("s").alias("score"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.bround("score", 5)), "d"))
     top = scored.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "d", "rank", "score")
