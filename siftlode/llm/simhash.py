@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise, maybe_broadcast, own_prefix, part_by_ids, ship
-from .components import connected_components
+from .components import connected_components, forest
 from .verify import SIMILAR, verified_links
 
 SHINGLE = 4
@@ -215,11 +215,16 @@ def _met(key: np.ndarray, left: np.ndarray, fp: np.ndarray, bits: int, radius: i
             np.minimum.at(label, member, low)
             label = label[label]
         linked = np.flatnonzero(label != np.arange(len(fp)))
-        found_a.append(fp[label[linked]])
-        found_b.append(fp[linked])
+        found_a.append(label[linked])
+        found_b.append(linked)
     if not found_a:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return np.concatenate(found_a), np.concatenate(found_b)
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    if len(found_a) > 1:  # one forest of what the passes found, else each gives links of its own for the same rows
+        label = forest(len(fp), a, b)
+        b = np.flatnonzero(label != np.arange(len(fp)))
+        a = label[b]
+    return fp[a], fp[b]
 
 
 def _meet(rows: DataFrame, bits: int, radius: int, most: int) -> DataFrame:
