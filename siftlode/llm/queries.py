@@ -15,8 +15,8 @@ ORACLE: dict[str, str] = {}
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    out = url_filter.filter_urls(pages, url_filter.listed_urls(pages))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = url_filter.filter_urls(pages.drop("html"), url_filter.thin_urls(pages))
     return out.select("page_id", "host", "path", "rule", "verdict", "canonical_url", "listed")
 
 
@@ -79,7 +79,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"op1_url_filter": op1_url_filter, "op2_html_extract": op2_html_extract, "op3_sharding": op3_sharding, "op4_mixing": op4_mixing, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_embedding_dedup": op7_embedding_dedup, "op8_line_dedup": op8_line_dedup, "op9_decontamination": op9_decontamination, "op10_simhash": op10_simhash, "op11_importance": op11_importance, "op12_whitening": op12_whitening, "op13_exact_dedup": op13_exact_dedup}
 
 _PARTS = r"""
-  SELECT page_id, url, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*') END AS raw,
+  SELECT page_id, url, length(html) AS html_length, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*') END AS raw,
          CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest
   FROM pages
 """
@@ -94,11 +94,11 @@ def _rule_sql(what: str) -> str:
 
 ORACLE["op1_url_filter"] = rf"""
 WITH parts AS ({_PARTS}),
-split AS (SELECT page_id, translate(raw, {_AZ}) AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM parts),
+split AS (SELECT page_id, html_length, translate(raw, {_AZ}) AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM parts),
 named AS (
   SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^(www|m|blog)\.', ''), ':[0-9]*$', '')
          || regexp_replace(regexp_replace(path, '(/index)?\.html?$', ''), '/+$', '') END AS canonical_url FROM split),
-listed AS (SELECT DISTINCT canonical_url AS u FROM named WHERE regexp_matches(canonical_url, '{url_filter.LISTED_SITES}'))
+listed AS (SELECT DISTINCT canonical_url AS u FROM named WHERE html_length < {url_filter.THIN})
 SELECT page_id, host, path, {_rule_sql("rule")} AS rule,
        COALESCE({_rule_sql("verdict")}, CASE WHEN u IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, canonical_url, u IS NOT NULL AS listed
 FROM named LEFT JOIN listed ON canonical_url = u

@@ -20,8 +20,8 @@ from .common import BROADCAST_ROWS, materialise, maybe_broadcast, own_prefix
 
 #: (verdict, host, path): a rule fits its host and all hosts below it, where the path starts with the rule's.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Sites whose pages are the list of the registered query.
-LISTED_SITES = r"^(ads-track|casino-win|cheap-pills|free-bets|spam-farm)\."
+#: Code points of html below which the registered query lists a page as thin.
+THIN = 2000
 #: Names that only say on which front door of a site a page was seen.
 FRONT_DOORS = r"^(www|m|blog)\."
 BITS_PER_URL = 16
@@ -114,8 +114,10 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     return out.select(*rest, *named)
 
 
-def listed_urls(pages: DataFrame, url: str = "url") -> DataFrame:
-    """The list of the registered query, which grows with the pages: the canonical URLs of those on the listed sites."""
+def thin_urls(pages: DataFrame, url: str = "url", html: str = "html", least: int = THIN) -> DataFrame:
+    """The list of the registered query, which grows with the pages: the canonical URLs of those whose html has under
+    ``least`` code points. What a URL looks like does not tell whether it is listed, and a page is listed too if only
+    another front door, query or fragment of it was thin. Null html is not thin; repeats are kept once."""
     host, path = split_url(F.col(url))
-    parts = pages.select(host.alias("host"), path.alias("path")).select(canonical(F.col("host"), F.col("path")).alias("canonical_url"))
-    return parts.where(F.col("canonical_url").rlike(LISTED_SITES)).distinct()
+    parts = pages.where(F.length(html) < least).select(host.alias("host"), path.alias("path"))
+    return parts.select(canonical(F.col("host"), F.col("path")).alias("canonical_url")).where("canonical_url is not null").distinct()

@@ -49,9 +49,24 @@ def test_url_filter_keeps_columns_of_any_name(spark):
         assert [r[n] for n in names] == names and (r.page_id, r.listed, r.verdict) == (1, True, "block")
 
 
-def test_the_registered_list_grows_with_the_pages(spark):
-    pages = spark.createDataFrame([("http://www.spam-farm.x.test/en/1.html",), ("http://spam-farm.x.test/en/1",), ("http://ok.test/1",), (None,)], "url string")
-    assert [r[0] for r in url_filter.listed_urls(pages).collect()] == ["spam-farm.x.test/en/1"]
+def test_the_registered_list_is_what_pages_say_not_their_urls(spark):
+    thin, long_ = "x" * 1999, "ä" * 2000
+    rows = [("http://www.a.test/en/1.html?q", thin), ("http://a.test/en/1", long_), ("http://a.test/en/1", thin), ("http://ok.test/1", long_), ("http://no.test/1", None), (None, thin), ("odd", thin)]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    assert [r[0] for r in url_filter.thin_urls(pages).collect()] == ["a.test/en/1"]
+    assert url_filter.thin_urls(pages.limit(0)).count() == 0
+
+
+def test_the_registered_query_lists_by_filter_and_join(spark, tmp_path):
+    """Pages of one site whose URLs differ by number only: the list decides, not a pattern; a query through a page's other name too."""
+    rows = [(i, f"http://{'www.' if i % 3 == 0 else ''}site.test/de/{i // 2}{'?s' if i % 5 == 0 else ''}", "y" * (100 if i % 4 == 0 else 3000)) for i in range(400)]
+    rows += [(1000, None, "t"), (1001, "http://x.org/fr/1", "t"), (1002, "http://x.org/fr/2", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = {r.page_id: r for r in queries.op1_url_filter(spark, str(tmp_path)).collect()}
+    assert len(out) == len(rows)
+    assert all(out[i].listed == (i // 2 % 2 == 0) and out[i].verdict == ("block" if i // 2 % 2 == 0 else "allow") for i in range(400))
+    assert (out[1000].listed, out[1000].verdict) == (False, "allow")
+    assert (out[1001].listed, out[1001].rule, out[1001].verdict) == (True, "org/fr/", "allow") and not out[1002].listed
 
 
 # ---- HTML
