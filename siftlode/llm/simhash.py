@@ -46,6 +46,8 @@ KEY_BITS = 8
 KEY_ROWS = 1 << 21
 #: Variants in a sorted run: what a task holds at once.
 RUN = 2_000_000
+#: Links that a task gathers before it lets go of them.
+LINKS = 1 << 19
 #: Fingerprints of a document's pairs of words, and words of a shingle, where documents are to be similar.
 CODES = 8
 SIMILAR_SHINGLE = 5
@@ -227,30 +229,54 @@ def _met(key: np.ndarray, left: np.ndarray, fp: np.ndarray, bits: int, radius: i
     return fp[a], fp[b]
 
 
-def _meet(rows: DataFrame, bits: int, radius: int, most: int) -> DataFrame:
+def _spanning(links: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """One forest of several lists of links between fingerprints: at most one link a fingerprint."""
+    n = sum(len(a) for a, _ in links)
+    if not n:
+        return []
+    fps, at = np.unique(np.concatenate([a for a, _ in links] + [b for _, b in links]), return_inverse=True)
+    label = forest(len(fps), at[:n], at[n:])
+    b = np.flatnonzero(label != np.arange(len(fps)))
+    return [(fps[label[b]], fps[b])]
+
+
+def _meet(rows: DataFrame, bits: int, radius: int, most: int, links: int = LINKS) -> DataFrame:
     """Links (code, u, v) among keyed rows; rows of a key stand together, as many whole keys of one code at a time as make
-    a run."""
+    a run. What a task finds for a code, in whatever runs and pieces, is one forest (one for each ``links`` links)."""
     weight = np.array([sum(len(_masks(bits, k)) for k in range(j + 1)) for j in range(radius // 2 + 1)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found_code = -1
+
+        def found_links() -> Iterator[pa.RecordBatch]:
+            nonlocal found
+            for a, b in _spanning(found):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), found_code, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["code", "u", "v"])
+            found = []
 
         def ends_of(code: np.ndarray, key: np.ndarray) -> np.ndarray:
             """Where groups of one key end."""
             return np.flatnonzero(np.r_[(key[1:] != key[:-1]) | (code[1:] != code[:-1]), True]) + 1
 
         def flush(code: np.ndarray, key: np.ndarray, left: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal found, found_code
             ends, cost, i = ends_of(code, key), np.cumsum(weight[left]), 0
             while i < len(key):
+                if code[i] != found_code:
+                    yield from found_links()
+                    found_code = int(code[i])
                 limit = (cost[i - 1] if i else 0) + most
                 fit = ends[(ends > i) & (ends <= np.searchsorted(code, code[i], "right"))]
                 j = fit[max(0, np.searchsorted(cost[fit - 1], limit, "right") - 1)]
                 for piece in _dealt(key[i:j], left[i:j], fp[i:j], bits, radius, most):
-                    a, b = _met(*piece, radius, most)
-                    if not len(a):
-                        continue
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), code[i], np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["code", "u", "v"])
+                    found.append(_met(*piece, radius, most))
+                    if sum(len(a) for a, _ in found) > links:
+                        found = _spanning(found)
+                        if len(found[0][0]) > links // 2:
+                            yield from found_links()
                 i = j
 
         for b in batches:
@@ -270,6 +296,7 @@ def _meet(rows: DataFrame, bits: int, radius: int, most: int) -> DataFrame:
             whole = [np.concatenate(x) for x in zip(*held, strict=True)]
             held = []  # a key of many rows is not held twice
             yield from flush(*whole)
+        yield from found_links()
 
     dealt = rows.select("code", "key", "left", "fp").repartition("code", "key").sortWithinPartitions("code", "key")
     return dealt.mapInArrow(run, "code int, u long, v long")

@@ -89,6 +89,27 @@ def test_a_key_is_dealt_out_in_its_task(most):
     assert all(sum(map(len, p.values())) <= most for p in pieces)
 
 
+@pytest.mark.parametrize("links", [simhash.LINKS, 40, 0])
+def test_a_task_gives_one_forest_a_code(spark, links):
+    """One clump of two codes in one task: however many runs and pieces it takes, a fingerprint has one link, or few where the
+    task lets go of links early; what is connected stays."""
+    rnd = random.Random(11)
+    fps = sorted({0x5A5A << 40 | sum(1 << b for b in rnd.sample(range(64), rnd.randrange(3))) for _ in range(150)})
+    signed = [(c, f - 2**64 if f >= 2**63 else f) for c in (0, 1) for f in fps]
+    rows = simhash._keyed(spark.createDataFrame(signed, "code int, fp long"), 4)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        found = simhash._meet(rows, 56, 4, 3000, links).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    at = {f: i for i, (_, f) in enumerate(signed[: len(fps)])}
+    want = classes(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    for code in (0, 1):
+        own = [(at[r.u], at[r.v]) for r in found if r.code == code]
+        assert classes(len(fps), own) == want
+        assert links != simhash.LINKS or len(own) == len(fps) - len(set(want))
+
+
 def test_keys_that_a_task_holds_are_not_dealt_out_in_the_shuffle(spark, monkeypatch):
     def deeper(*_):
         raise AssertionError("each fingerprint would be shuffled 137 times instead of 37")
