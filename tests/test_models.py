@@ -2,6 +2,7 @@
 
 import json
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -191,6 +192,23 @@ def test_slices_of_contexts_change_nothing(small, monkeypatch):
     assert KEY(fusion.topk_linear(c, fusion.WEIGHTS, 5)) == want
 
 
+@pytest.mark.parametrize("weights", [fusion.WEIGHTS, {"char": 1.0, "mc": 0.1, "char_agg": 0.3, "loc": 0.067, "filter": 0.31}, {"dense": 1.0, "loc": 0.1, "filter": 0.5}, {"loc": 0.1, "mc": 0.2, "filter": 0.1}])
+def test_what_goes_on_does_not_grow_with_the_corpus(spark, small, weights):
+    """Eight copies of each item: the same rows as of all pairs, and no query meets more than its groups' best."""
+    c, n, k = small[3], 8, 5
+    copies = spark.range(n).select(F.col("id").alias("copy"))
+    name = F.concat("item_id", F.lit("-"), "copy").alias("item_id")
+    rest = lambda df: df.crossJoin(copies).select(name, *[x for x in df.columns if x not in ("item_id", "idx")], *([name.alias("idx")] if "idx" in df.columns else []))
+    big = replace(c, items=rest(c.items), texts={t: rest(df) for t, df in c.texts.items()}, pairs={}, dense=(c.dense[0], rest(c.dense[1])))
+    want = fusion.ranked(fusion.score_pairs(fusion.all_pairs(big), big, weights), k)
+    assert KEY(fusion.topk_linear(big, weights, k)) == KEY(want)
+    texts = fusion.text_scores(big, weights)
+    if texts is not None:
+        per_query = fusion.by_texts(big, weights, k, texts).groupBy("query_id").count().agg(F.max("count")).first()[0]
+        # four locations, with and without a bonus; ties are the copies of the last
+        assert per_query <= 2 * 4 * (k - 1 + n)
+
+
 def test_totals_are_those_of_all_pairs(small):
     c = small[3]
     every = fusion.score_pairs(fusion.all_pairs(c), c, fusion.WEIGHTS).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"))
