@@ -79,3 +79,17 @@ def test_raw_text_and_lemmas(spark):
     rows = spark.createDataFrame([(1, "cats run"), (2, ""), (3, None)], "i long, t string")
     lemmas = spark.createDataFrame([("cats", "cat")], "word string, lemma string")
     assert sorted((r.i, r.l) for r in tx.lemmatize(rows, "t", lemmas, "l", "i").collect()) == [(1, "cat run"), (2, ""), (3, "")]
+
+
+@pytest.mark.parametrize("kind", ["char", "word"])
+def test_summaries_of_terms_need_no_row_for_each(spark, kind):
+    from siftlode.operators import lexical
+
+    texts = ["red lamp red", "", "a", "blue blue blue ring", None, "b c b c b", "äö lämp abcdef"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    grams = lexical.ANALYZERS[kind](F.col("text"))
+    got = lexical.term_summary(rows, "id", "text", kind)
+    counts = lexical.term_counts(rows, "id", grams).groupBy("id").agg(F.sum("tf").alias("n"), F.count("term").alias("n_distinct"), F.min("term").alias("first"), F.max("term").alias("last"))
+    assert sorted(got.collect()) == sorted(counts.collect()) and got.count() == 5
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
