@@ -163,3 +163,34 @@ def test_config():
     out = config.apply_overrides(base, ["a.b.1.c=[3, 4]", "e.f=true", "d=null"])
     assert out == {"a": {"b": [1, {"c": [3, 4]}]}, "d": None, "e": {"f": True}} and base["d"] == "x"
     assert config.config_key({"b": 1, "a": 2}) == config.config_key({"a": 2, "b": 1})
+
+
+def test_text_branch_goes_on_with_what_reaches_the_bound(small):
+    # a query went on with the k best of every location and bonus
+    c, k = small[3].components, 3
+    w = {"char": 1.0, "loc": 0.067, "mc": 0.012, "filter": 0.31}
+    texts = fusion.text_scores(c, w)
+    of = ["query_norm", "side", "item_loc"]
+    sides = c.queries.select("query_id", "query_norm", "params", F.lit(False).alias("side"))
+    every = fusion._group_best(texts, of, k).join(sides, ["query_norm", "side"]).count()
+    assert 0 < fusion.by_texts(c, w, k, texts).count() < every / 2
+
+
+def test_pruned_topk_with_unknown_places_and_a_mask(spark, small):
+    it, tr, q, _ = small
+    it = it.withColumn("item_location_id", F.when(F.col("item_location_id") != 2, F.col("item_location_id")))
+    c = recipe.build(tr, it, q, [{"col": "item_title_raw"}], ["Type"], {"Type": 1.0}).components
+    key = lambda df: sorted((r.query_id, r["rank"], r.item_id) for r in df.collect())
+    for w, least in ((fusion.WEIGHTS | {"filter_agg": 0.1}, None), ({"char": 1.0, "loc": 0.067}, 0.2)):
+        want = fusion.ranked(fusion.score_pairs(fusion.all_pairs(c), c, w, loc_min_p=least), 4)
+        assert key(fusion.topk_linear(c, w, 4, loc_min_p=least)) == key(want)
+
+
+def test_cosines_of_pairs_without_vectors_are_zero(spark, small):
+    from dataclasses import replace
+
+    q = spark.createDataFrame([("a", [3.0, 4.0]), ("b", None), ("c", [0.0, 0.0])], "query_norm string, vec array<double>")
+    i = spark.createDataFrame([("x", [4.0, 3.0]), ("y", [-3.0, -4.0]), ("z", None)], "item_id string, vec array<double>")
+    rows = q.select("query_norm").union(spark.createDataFrame([("d",)], "query_norm string")).crossJoin(i.select("item_id").union(spark.createDataFrame([("n",)], "item_id string")))
+    got = {(r.query_norm, r.item_id): round(r.dense, 9) for r in fusion.with_dense(rows, replace(small[3].components, dense=(q, i))).collect()}
+    assert len(got) == 16 and {p: d for p, d in got.items() if d} == {("a", "x"): 0.96, ("a", "y"): -1.0}
