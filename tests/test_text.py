@@ -93,3 +93,27 @@ def test_summaries_of_terms_need_no_row_for_each(spark, kind):
     assert sorted(got.collect()) == sorted(counts.collect()) and got.count() == 5
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("analyzer", ["char", "word"])
+def test_cosines_weighed_where_texts_are_read(spark, monkeypatch, analyzer):
+    # the terms of documents were all written, joined with their idf and dealt out by it
+    docs = spark.createDataFrame([(1, "red lamp red ring"), (2, "blue lamp a"), (3, ""), (4, None), (5, "красный ring ring bolt lamp"), (6, "a")], "d long, text string")
+    asked = spark.createDataFrame([("x", "red lamp lamp"), ("y", "ring unseen"), ("z", "nothing"), ("e", "")], "q string, text string")
+    n, grams = docs.count(), lexical.ANALYZERS[analyzer](F.col("text"))
+    counts = lexical.term_counts(docs, "d", grams)
+    idf = lexical.fit_idf(counts, n)
+    qw, dw = lexical.weights(lexical.term_counts(asked, "q", grams), idf, n), lexical.weights(counts, idf, n)
+    of = lambda df: {(r.q, r.d): round(r.cos, 9) for r in df.collect()}
+    want = of(lexical.cosine(qw, dw))
+    whole = {r.id: (r.n, round(r.total, 9), round(r.top, 9)) for r in dw.groupBy("id").agg(F.count("w").alias("n"), F.sum("w").alias("total"), F.max("w").alias("top")).collect()}
+    args = (asked, docs, "q", "text", "d", "text", analyzer)
+    for frequent, slice_, folded in ((lexical.FREQUENT, lexical.ASKED, lexical.FOLDED), (3, 6, 4)):
+        monkeypatch.setattr(lexical, "FREQUENT", frequent), monkeypatch.setattr(lexical, "ASKED", slice_), monkeypatch.setattr(lexical, "FOLDED", folded)
+        got = lexical.text_cosine(*args)
+        assert want and of(got) == want
+        sums = lexical.document_sums(docs, "d", "text", analyzer, n).where("terms > 0").collect()
+        assert {r.id: (r.terms, round(r.total / r.square**0.5, 9), round(r.top / r.square**0.5, 9)) for r in sums} == whole
+        if slice_ > 6:
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "HashAggregate" not in plan
