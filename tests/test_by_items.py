@@ -44,3 +44,25 @@ def test_texts_are_cut_together():
         alone = cut(pa.array([t], pa.string()))
         assert (term[row == i].tolist(), tf[row == i].tolist()) == (alone[1].tolist(), alone[2].tolist())
     assert sorted(tf[row == 0].tolist()) == [1] * len(lexical.grams_of_word("ring", 3, 5)) + [2] * len(lexical.grams_of_word("red", 3, 5))
+
+
+def test_words_are_counted_where_they_are_read(spark, monkeypatch):
+    from siftlode.functions import text as tx
+
+    rows = spark.createDataFrame([(1, "red ring red ring"), (2, None), (3, ""), (4, "ring red"), (5, "red")], "doc_id long, text string")
+    want = {r.term: r.df for r in lexical.fit_idf(lexical.document_terms(rows, "doc_id", tx.word_ngrams(F.col("text"))), 5).collect()}
+    for folded in (lexical.FOLDED, 1):
+        monkeypatch.setattr(lexical, "FOLDED", folded)
+        assert {r.term: r.df for r in lexical.word_frequencies(rows, "doc_id", "text").collect()} == want
+    assert want["red ring"] == 1 and want["ring red"] == 2
+
+
+def test_neighbours_are_found_a_few_vectors_at_a_time(spark, monkeypatch):
+    from siftlode.operators import dense
+
+    rnd = random.Random(1)
+    v = spark.createDataFrame([(i, i % 2, [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(15)], "vec_id long, label int, embedding array<double>")
+    found = lambda: sorted((r.vec_id, r.other, r.r) for r in dense.knn(v, 3, -1.0).collect())
+    want = found()
+    monkeypatch.setattr(dense, "KNN_ROWS", 2)
+    assert found() == want
