@@ -162,11 +162,16 @@ def test_lowered_texts_are_told_apart_where_they_are_cut(spark, analyzer):
     # documents were normalised before, which took most of the time
     import pyarrow as pa
 
+    from siftlode.plans import registry
+
     raw = ["Red,  LAMP--red\nЁлка ёж", "Été café 5м", "!!", None, "a中\U0001f600b", "İstanbul ß ſ", "x_y\tz"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(raw)], "i long, t string").select("i", tx.lowered(F.col("t")).alias("l"), tx.normalize(F.col("t")).alias("n")).orderBy("i")
     rows, cut = df.collect(), lexical.cutter(analyzer)
     got, want = (cut(pa.array([r[c] for r in rows], pa.string())) for c in ("l", "n"))
     assert len(want[0]) and all(x.tolist() == y.tolist() for x, y in zip(got, want, strict=True))
+    if analyzer == "char":
+        plan = registry.QUERIES["cos_char"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "regexp_replace" not in plan and "Generate" not in plan and "Join" not in plan
 
 
 def test_grams_as_numbers():
